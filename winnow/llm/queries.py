@@ -3,21 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import neighbours
+from winnow.llm import clusters, encoding, near_duplicates, neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Where the public vocabularies are; a parameter of the operators.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     features = spark.read.parquet(f"{folder}/features.parquet")
     return neighbours.similar_pairs(neighbours.most_similar(features, k=5, floor=0.82))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    features = spark.read.parquet(f"{folder}/features.parquet")
+    return clusters.at_least(clusters.linked(features, floor=0.82), 5).select("cluster_id", "id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    features = spark.read.parquet(f"{folder}/features.parquet")
+    cutouts = spark.read.parquet(f"{folder}/cutouts.parquet")
+    pairs = near_duplicates.near_pairs(features, floor=0.98)
+    return near_duplicates.compatible_pairs(pairs, cutouts, apart=64).select("id_a", "id_b")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    return encoding.encode(documents, str(Path(TOKENIZERS, "byte_bpe_50k.tiktoken")))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
