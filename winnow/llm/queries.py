@@ -7,7 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import clusters, encoding, near_duplicates, neighbours
+from winnow.functions.lineage import cut
+from winnow.llm import clusters, encoding, leaks, near_duplicates, neighbours, text_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,8 +38,21 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode(documents, str(Path(TOKENIZERS, "byte_bpe_50k.tiktoken")))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    items = spark.read.parquet(f"{folder}/eval_items.parquet")
+    return leaks.leaks(documents, items, passage=13).select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    common = spark.read.parquet(f"{folder}/common_words.parquet")
+    stats = cut(text_quality.statistics(documents, common))
+    return text_quality.lower_tail(stats, "prose_words", 0.5).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
