@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from winnow.functions.workers import kept
+
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens whose ids a worker remembers.
@@ -122,11 +123,6 @@ class Encoder:
         return b"".join(self._tokens[i] for i in ids).decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def encode(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids) for every row: the ids of the text, unchanged, without special tokens.
 
@@ -143,7 +139,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     name = Path(tokenizer).name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(SparkFiles.get(name))
+        path = SparkFiles.get(name)
+        encoder = kept(("encoder", path), lambda: Encoder(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

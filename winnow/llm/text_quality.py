@@ -174,34 +174,51 @@ def sketches(stats: DataFrame) -> DataFrame:
     )
 
 
+#: Quantiles read from a sketch.
+GRID = [k / 100 for k in range(101)]
+
+
+def quantiles(by: DataFrame, of: list[str]) -> DataFrame:
+    """(language, grid_...): the quantiles of GRID of the given statistics, from their sketches."""
+    grid = F.array(*map(F.lit, GRID))
+    return by.select(
+        "language",
+        *(F.kll_sketch_get_quantile_double(F.col(f"sketch_{s}"), grid).alias(f"grid_{s}") for s in of),
+    )
+
+
+def _percentile(value: Column, grid: Column) -> Column:
+    """Share of the grid's quantiles below the value."""
+    return F.size(F.filter(grid, lambda q: q < value)) / F.lit(float(len(GRID)))
+
+
 def standing(stats: DataFrame, by: DataFrame | None = None) -> DataFrame:
-    """The statistics with rank_... (share of the language's documents up to the value) and z_...
+    """The statistics with rank_... (percentile among the language's documents, as a share) and z_...
     (distance from the median in robust standard deviations, from the quartiles).
 
     ``by`` is the table of :func:`sketches`, by default that of the same documents.  It has a row for each
     language of the table of common words and one for the others, so it is broadcast.
     """
-    by = sketches(stats) if by is None else by
+    by = quantiles(sketches(stats) if by is None else by, STATISTICS)
     both = stats.join(F.broadcast(by), "language", "left")
     out = [F.col(c) for c in stats.columns]
     for s in STATISTICS:
-        sketch, value = F.col(f"sketch_{s}"), F.col(s).cast("double")
-        low, middle, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        known = value.isNotNull()
-        out.append(F.when(known, F.kll_sketch_get_rank_double(sketch, value)).alias(f"rank_{s}"))
+        grid, value = F.col(f"grid_{s}"), F.col(s).cast("double")
+        low, middle, high = (F.get(grid, F.lit(k)) for k in (25, 50, 75))
+        known = value.isNotNull() & grid.isNotNull()
+        out.append(F.when(known, _percentile(value, grid)).alias(f"rank_{s}"))
         spread = (high - low) / 1.349
         out.append(F.when(known & (spread > 0), (value - middle) / spread).alias(f"z_{s}"))
     return both.select(*out)
 
 
 def lower_tail(stats: DataFrame, statistic: str, cut: float, by: DataFrame | None = None) -> DataFrame:
-    """The documents in the lower tail of a statistic: the share of their language's documents up to their
-    value is at most the share up to ``cut``, by the sketches.  As a sketch is exact to a per cent or so,
-    the value itself is then held against ``cut``."""
-    by = sketches(stats) if by is None else by
-    sketch = F.col(f"sketch_{statistic}")
-    ends = by.select("language", sketch, F.kll_sketch_get_rank_double(sketch, F.lit(float(cut))).alias("tail"))
-    value = F.col(statistic).cast("double")
-    both = stats.where(value.isNotNull()).join(F.broadcast(ends), "language")
-    inside = both.where(F.kll_sketch_get_rank_double(sketch, value) <= F.col("tail"))
+    """The documents in the lower tail of a statistic: their percentile in their language is at most that
+    of ``cut``, by the sketches.  As a grid of percentiles is coarse, the value itself is then held
+    against ``cut``.  Documents without a value are in no tail."""
+    by = quantiles(sketches(stats.select("language", *STATISTICS)) if by is None else by, [statistic])
+    grid, value = F.col(f"grid_{statistic}"), F.col(statistic).cast("double")
+    tails = by.select("language", grid, _percentile(F.lit(float(cut)), grid).alias("tail"))
+    both = stats.where(value.isNotNull()).join(F.broadcast(tails), "language")
+    inside = both.where(_percentile(value, grid) <= F.col("tail"))
     return inside.where(value < cut).select(*stats.columns)
