@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.functions.lineage import cut
-from winnow.llm import clusters, encoding, leaks, near_duplicates, neighbours, text_quality
+from winnow.llm import clusters, encoding, leaks, near_duplicates, neighbours, text_quality, varied
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZERS = "/opt/tokenizers"
 
 
+def p1_subsets(spark: SparkSession, folder: str) -> DataFrame:
+    features = spark.read.parquet(f"{folder}/features.parquet")
+    cutouts = spark.read.parquet(f"{folder}/cutouts.parquet")
+    requests = spark.read.parquet(f"{folder}/sample_requests.parquet")
+    return varied.varied_subset(features, cutouts, requests)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     features = spark.read.parquet(f"{folder}/features.parquet")
     return neighbours.similar_pairs(neighbours.most_similar(features, k=5, floor=0.82))
@@ -52,7 +59,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_subsets": p1_subsets, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
