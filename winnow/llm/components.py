@@ -23,13 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     state = _state(e)
     while state[0]:
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionAll(low.where("u > m").select("u", F.col("m").alias("v"))).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        now = cut(small.unionAll(down.select("u", F.col("m").alias("v"))).distinct())
+        now = _closer(e)
         before, state, e = state, _state(now), now
         if state == before:
             break
@@ -37,6 +31,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nodes.unionAll(e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
+def _closer(e: DataFrame) -> DataFrame:
+    """Both steps once; each reads its input several times, so it is cut."""
+    both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = cut(large.unionAll(low.where("u > m").select("u", F.col("m").alias("v"))).distinct())
+    down = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    return cut(small.unionAll(down.select("u", F.col("m").alias("v"))).distinct())
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     """Number of edges and a sum of their hashes; equal only if the edges are."""
     n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
