@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions.lineage import cut
@@ -105,7 +104,7 @@ def varied_subset(
         "id", (1 / F.col("density") / F.pow(F.col("mosaic_rows"), F.lit(group_power))).alias("weight")
     )
     total, mean = weighted.agg(F.count("*"), F.avg("weight")).first()
-    weighted = weighted.select("id", (F.col("weight") / F.lit(mean or 1.0)).alias("weight"))
+    weighted = cut(weighted.select("id", (F.col("weight") / F.lit(mean or 1.0)).alias("weight")))
     wanted = [
         (r["request_id"], min(int(r["target_size"]), total * max(1, int(r["multiplier"] or 1))))
         for r in requests.select("request_id", "target_size", "multiplier").limit(10_001).collect()
@@ -121,7 +120,7 @@ def varied_subset(
             parts.append(weighted.select("id", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("replica"), "weight"))
         if rest:
             key = -F.log(uniform(F.lit(seed), F.lit(request), F.col("id"))) / F.col("weight")
-            parts.append(_smallest(weighted.withColumn("key", key), rest).select("id", F.lit(turns).alias("replica"), "weight"))
+            parts.append(_smallest(weighted.withColumn("key", key), rest, total).select("id", F.lit(turns).alias("replica"), "weight"))
         for part in parts:
             part = part.select(F.lit(request).cast("int").alias("request_id"), "id", F.col("replica").cast("int"), "weight")
             out = part if out is None else out.unionAll(part)
@@ -130,26 +129,29 @@ def varied_subset(
     return out
 
 
-def _smallest(keyed: DataFrame, size: int, exact: int = 50_000) -> DataFrame:
-    """The ``size`` rows of the smallest (key, id).
+def _smallest(keyed: DataFrame, size: int, total: int, exact: int = 50_000) -> DataFrame:
+    """The ``size`` rows of the smallest (key, id) of ``total``, fewer than all.
 
-    A small size is a limit after sorting.  A large one, which no task could hold, keeps what lies surely
-    below the bound, found by halving on counts, and sorts only what is near it.
+    Two percentiles bound the last key from below and above, closer each time, until few rows lie between;
+    only these are sorted, and those below the lower bound are taken as they are.
     """
-    if size <= exact:
-        return keyed.orderBy("key", "id").limit(size)
-    keyed = cut(keyed)
-    low, high = 0.0, float(keyed.agg(F.max("key")).first()[0])
-    below = 0
-    for _ in range(60):
-        middle = (low + high) / 2
-        n = keyed.where(F.col("key") <= middle).count()
-        if n <= size:
-            low, below = middle, n
+    low = high = None
+    below, upto = 0, total
+    while upto - below > exact:
+        band = keyed.where(F.lit(True) if low is None else F.col("key") > low)
+        band = band if high is None else band.where(F.col("key") <= high)
+        share, margin = (size - below) / (upto - below), 0.002
+        ends = band.agg(F.percentile_approx("key", [max(0.0, share - margin), min(1.0, share + margin)], 10_000).alias("q")).first()["q"]
+        n = band.agg(F.count_if(F.col("key") <= ends[0]), F.count_if(F.col("key") <= ends[1])).first()
+        if n[0] == 0 and below + n[1] >= upto or ends[0] == ends[1]:
+            break  # equal keys, or nothing gained
+        if below + n[1] < size:
+            low, below = ends[1], below + n[1]
+        elif below + n[0] >= size:
+            high, upto = ends[0], below + n[0]
         else:
-            high = middle
-        if size - below <= exact:
-            break
-    rest = keyed.where((F.col("key") > low) & (F.col("key") <= high)) if size > below else None
-    sure = keyed.where(F.col("key") <= low)
-    return sure if rest is None else sure.unionAll(rest.orderBy("key", "id").limit(size - below))
+            low, high, below, upto = ends[0], ends[1], below + n[0], below + n[1]
+    band = keyed if low is None else keyed.where(F.col("key") > low)
+    band = band if high is None else band.where(F.col("key") <= high)
+    last = band.orderBy("key", "id").limit(size - below)
+    return last if low is None else keyed.where(F.col("key") <= low).unionAll(last)
