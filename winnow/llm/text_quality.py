@@ -179,12 +179,14 @@ GRID = [k / 100 for k in range(101)]
 
 
 def quantiles(by: DataFrame, of: list[str]) -> DataFrame:
-    """(language, grid_...): the quantiles of GRID of the given statistics, from their sketches."""
+    """(language, grid_...): the quantiles of GRID of the given statistics, from their sketches; null where
+    a sketch is of nulls only."""
     grid = F.array(*map(F.lit, GRID))
-    return by.select(
-        "language",
-        *(F.kll_sketch_get_quantile_double(F.col(f"sketch_{s}"), grid).alias(f"grid_{s}") for s in of),
-    )
+
+    def read(sketch: Column) -> Column:
+        return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, grid))
+
+    return by.select("language", *(read(F.col(f"sketch_{s}")).alias(f"grid_{s}") for s in of))
 
 
 def _percentile(value: Column, grid: Column) -> Column:
