@@ -1,0 +1,176 @@
+"""Vector operators against brute force, with what may be wrong in the rows."""
+
+import numpy as np
+import pytest
+
+from winnow.llm import clusters, kernels, near_duplicates, neighbours, varied
+from winnow.llm.components import components
+from winnow.llm.forest import ForestConfig, fit_forest
+from winnow.llm.packs import mix, pack, unpack
+
+DIM = 64
+SCHEMA = "id long, embedding array<float>, rank string, side int"
+
+
+def _groups(seed=0, sizes=(160, 90, 40, 12, 5, 3), lone=30, noise=0.05):
+    rng = np.random.default_rng(seed)
+    x = [c + noise * rng.normal(size=(n, DIM)) for n in sizes for c in [_unit(rng)]] + [rng.normal(size=(lone, DIM))]
+    x = np.vstack(x)
+    x[3] = x[2]
+    x[200] = x[201] * 2.5
+    x = (x / np.linalg.norm(x, axis=1)[:, None] * rng.uniform(0.5, 9, size=(len(x), 1))).astype(np.float32)
+    return np.arange(len(x)) * 7 + 3, x
+
+
+def _unit(rng):
+    v = rng.normal(size=DIM)
+    return v / np.linalg.norm(v)
+
+
+def _table(spark, ids, x, dirty=True):
+    rows = [(int(i), [float(v) for v in r], "a", 1) for i, r in zip(ids, x, strict=True)]
+    if dirty:
+        good = rows[0][1]
+        rows += [rows[5], rows[5], (999_001, None, None, None), (999_002, good[:63], "b", 2), (999_003, [0.0] * DIM, "b", 2), (999_004, [float("nan")] + good[1:], "b", 2),
+                 (999_005, [None] + good[1:], "b", 2), (999_006, [float("inf")] + good[1:], "b", 2), (None, good, "b", 2), (rows[0][0], None, "b", 3)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def _cosines(x):
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    return s
+
+
+SMALL = [ForestConfig(reach=0.08, leaf_rows=60, min_sample=10), ForestConfig(reach=0.08, leaf_rows=60, min_sample=10, leaf_cap=40, trees=2)]
+
+
+@pytest.mark.parametrize("config", SMALL)
+def test_most_similar(spark, config):
+    ids, x = _groups()
+    s = _cosines(x)
+    micro = np.rint(s * 1e6)
+    want = set()
+    for i in range(len(ids)):
+        order = np.lexsort((ids, -micro[i]))[:5]
+        want |= {(int(ids[i]), int(ids[j])) for j in order if s[i, j] >= 0.7}
+    out = neighbours.most_similar(_table(spark, ids, x), 5, 0.7, config).collect()
+    got = {(r.id, r.neighbor_id) for r in out}
+    assert len(got) == len(out)
+    assert len(want & got) >= 0.97 * len(want)
+    at = {int(i): k for k, i in enumerate(ids)}
+    assert all(abs(r.similarity - s[at[r.id], at[r.neighbor_id]]) < 1e-6 for r in out)
+
+
+@pytest.mark.parametrize("config", SMALL)
+def test_linked(spark, config):
+    ids, x = _groups(1)
+    s = _cosines(x) >= 0.75
+    root = list(range(len(ids)))
+    for i, j in zip(*np.nonzero(s), strict=True):
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    want = {(int(ids[i]), int(ids[r])) for i, r in enumerate(root)}
+    got = {(r.id, r.cluster_id) for r in clusters.linked(_table(spark, ids, x), 0.75, config).collect()}
+    assert got == want
+    big = clusters.at_least(clusters.linked(_table(spark, ids, x), 0.75, config), 5)
+    assert min(r["count"] for r in big.groupBy("cluster_id").count().collect()) >= 5
+
+
+@pytest.mark.parametrize("config", SMALL)
+def test_near_pairs(spark, config):
+    ids, x = _groups(2, noise=0.02)
+    s = _cosines(x)
+    want = {(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(s >= 0.975), strict=True) if i < j}
+    got = {(r.id_a, r.id_b) for r in near_duplicates.near_pairs(_table(spark, ids, x), 0.975, config=config).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_chosen_paths_with_many_copies():
+    rng = np.random.default_rng(0)
+    x = np.vstack([np.tile(_unit(rng), (300, 1)), [_unit(rng) for _ in range(300)]])
+    row, col, _ = near_duplicates.chosen_paths(x, None, 0.98, bucket=50)
+    assert len(row) == 300 * 299 // 2 and (row < col).all()
+
+
+def test_contradictions(spark):
+    pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0), (1, 5, 1.0), (1, 6, 1.0), (1, 7, 1.0), (1, 99, 1.0)], "id_a long, id_b long, similarity double")
+    records = spark.createDataFrame(
+        [(1, "K00001+10", [0, 0]), (1, "K00001+10", [0, 0]), (2, " k00001%2B10", [64, 64]), (3, "K00002+10", [0, 0]), (4, None, [65, 0]), (5, "mosaic_K00001-10", [None, 900]), (6, "?", None), (7, "K00001", [900])],
+        "id long, mosaic_name string, position array<int>",
+    )
+    got = near_duplicates.compatible_pairs(pairs, records)
+    assert sorted(r.id_b for r in got.collect()) == [2, 5, 6, 7, 99]
+    assert {(r.id, r.group_id, r.links) for r in near_duplicates.groups(got).collect()} == {(1, 1, 5)} | {(k, 1, 1) for k in (2, 5, 6, 7, 99)}
+
+
+def test_density_clusters(spark):
+    ids, x = _groups(3, sizes=(120, 60, 30), lone=20)
+    out = clusters.density_clusters(_table(spark, ids, x), least=8, neighbours=3, floor=0.5, levels=4).collect()
+    of = {r.id: r.cluster_id for r in out}
+    blobs = [{of.get(int(i)) for i in part} - {None} for part in (ids[:120], ids[120:180], ids[180:210])]
+    assert len(set.union(*blobs)) == sum(map(len, blobs))  # no cluster spans two groups
+    assert not any(int(i) in of for i in ids[210:])  # no cosine of theirs reaches the floor
+    assert sum(int(i) in of for i in ids[:210]) >= 200
+    for c in set(of.values()):
+        own = [r for r in out if r.cluster_id == c]
+        assert {r.size for r in own} == {len(own)} and sum(r.exemplar for r in own) == 3
+        assert min(r.persistence for r in own if r.exemplar) >= max(r.persistence for r in own if not r.exemplar)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert neighbours.most_similar(none).count() == 0
+    assert clusters.linked(none, 0.8).count() == 0
+    assert clusters.density_clusters(none).count() == 0
+    assert near_duplicates.near_pairs(none).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 99), (98, 99), (7, 7), (5, 6), (None, 4)] + [(50, k) for k in range(200, 260)], "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {k: 0 for k in range(31)} | {98: 98, 99: 98, 100: 98, 50: 50} | {k: 50 for k in range(200, 260)}
+    assert components(edges.limit(0)).count() == 0
+
+
+def test_packs():
+    ids, x = np.array([5, -1, 2**60]), np.arange(12, dtype=np.float32).reshape(3, 4)
+    a, b = unpack(pack(ids, x), [(np.int64, 0), (np.float32, 4)])
+    assert (a == ids).all() and (b == x).all()
+    assert unpack(pack(ids[:0], x[:0]), [(np.int64, 0), (np.float32, 4)])[1].shape == (0, 4)
+    assert len(set(mix(np.arange(1000)) % np.uint64(7))) == 7
+
+
+def test_routing_without_planes():
+    f = fit_forest(np.zeros((0, DIM), np.float32), 0, ForestConfig())
+    row, leaf, home = f.route(np.ones((2, DIM), np.float32))
+    assert list(row) == [0, 1] and set(leaf) == {0} and home.all()
+    assert not list(kernels.best(np.zeros((0, 4), np.float32), np.zeros((0, 4), np.float32), 3, 0, True))
+
+
+REQUESTS = "request_id int, target_size long, multiplier int, sampling_strategy string"
+
+
+def test_varied_subset(spark):
+    ids, x = _groups(4, sizes=(900, 60, 40), lone=50)
+    records = spark.createDataFrame([(int(i), f"K{k % 20 if k % 3 else 0:05d}+01") for k, i in enumerate(ids)] + [(-1, "K00009+01")], "id long, mosaic_name string")
+    requests = spark.createDataFrame([(1, 100, 1, "r"), (2, 5000, 1, None), (3, 1500, 2, "c"), (4, None, 1, "c"), (5, -3, 1, "c"), (6, 0, None, None)], REQUESTS)
+    out = varied.varied_subset(_table(spark, ids, x), records, requests).collect()
+    count = {k: sum(r.request_id == k for r in out) for k in range(1, 7)}
+    assert count == {1: 100, 2: 1050, 3: 1500, 4: 0, 5: 0, 6: 0}
+    assert len({(r.request_id, r.id, r.replica) for r in out}) == len(out)
+    first = [r.id for r in out if r.request_id == 1]
+    share = np.isin(first, ids[:900]).mean()
+    assert share < 0.6  # the group holds 86 per cent of the rows
+    again = varied.varied_subset(_table(spark, ids, x), records, requests.where("request_id = 1"))
+    assert sorted(r.id for r in again.collect()) == sorted(first)
+
+
+def test_smallest_by_percentiles(spark):
+    keyed = spark.range(5000).selectExpr("id", "double((id * 7919) % 5000) AS key")
+    got = varied._smallest(keyed, 1234, 5000, exact=100)
+    assert sorted(r.key for r in got.collect()) == list(range(1234))
+    equal = spark.range(1000).selectExpr("id", "1.0D AS key")
+    assert sorted(r.id for r in varied._smallest(equal, 300, 1000, exact=100).collect()) == list(range(300))

@@ -28,11 +28,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.most_similar(features, k=5, floor=0.82))
 
 
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar cutouts of every cutout, whatever their similarity."""
+    return neighbours.most_similar(spark.read.parquet(f"{folder}/features.parquet"), k=5)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     features = spark.read.parquet(f"{folder}/features.parquet")
     return clusters.at_least(clusters.linked(features, floor=0.82), 5).select("cluster_id", "id")
 
 
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, members and most typical members of the density clusters."""
+    return clusters.density_clusters(spark.read.parquet(f"{folder}/features.parquet"), least=5, neighbours=5)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     features = spark.read.parquet(f"{folder}/features.parquet")
     cutouts = spark.read.parquet(f"{folder}/cutouts.parquet")
@@ -40,6 +50,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.compatible_pairs(pairs, cutouts, apart=64).select("id_a", "id_b")
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every cutout that has one, and its number of links."""
+    features = spark.read.parquet(f"{folder}/features.parquet")
+    cutouts = spark.read.parquet(f"{folder}/cutouts.parquet")
+    pairs = near_duplicates.compatible_pairs(near_duplicates.near_pairs(features, floor=0.98), cutouts, apart=64)
+    return near_duplicates.groups(cut(pairs))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     return encoding.encode(documents, str(Path(TOKENIZERS, "byte_bpe_50k.tiktoken")))
@@ -51,6 +69,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(documents, items, passage=13).select("doc_id", "item_id")
 
 
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """All statistics of every document, with its percentiles and robust scores in its language."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    common = spark.read.parquet(f"{folder}/common_words.parquet")
+    return text_quality.standing(cut(text_quality.statistics(documents, common)))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     common = spark.read.parquet(f"{folder}/common_words.parquet")
@@ -59,7 +84,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_subsets": p1_subsets, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    all_ = (p1_subsets, p2_found, p2_neighbours, p3_found, p3_clusters, p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_statistics)
+    return {q.__name__: q for q in all_}
 
 
 def oracle_sql() -> dict[str, str]:
