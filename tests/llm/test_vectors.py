@@ -174,3 +174,21 @@ def test_smallest_by_percentiles(spark):
     assert sorted(r.key for r in got.collect()) == list(range(1234))
     equal = spark.range(1000).selectExpr("id", "1.0D AS key")
     assert sorted(r.id for r in varied._smallest(equal, 300, 1000, exact=100).collect()) == list(range(300))
+
+
+def test_rows_with_many_copies():
+    rng = np.random.default_rng(2)
+    one = _unit(rng)
+    x = np.vstack([np.tile(one, (4000, 1)), [_unit(rng) for _ in range(50)], one + 0.05 * rng.normal(size=(1, DIM)), np.tile(_unit(rng), (3, 1))])
+    order = rng.permutation(len(x))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)[order]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for side in (None, (np.arange(len(x)) % 2).astype(np.int8)):
+        row, col, micro = kernels.top_rows(x, side, 5, 0.5, rounded=True)
+        s = np.rint(x @ x.T * 1e6)
+        np.fill_diagonal(s, -2)
+        if side is not None:
+            s[side[:, None] == side[None, :]] = -2
+        for i in (*rng.choice(len(x), 60), *np.flatnonzero(np.isin(order, [4000, 4050, 4051, 4052, 4053]))):
+            want = [j for j in np.lexsort((np.arange(len(x)), -s[i]))[:5] if s[i, j] >= 5e5]
+            assert sorted(col[row == i]) == sorted(want)

@@ -62,26 +62,88 @@ def ranked(ids: np.ndarray, others: np.ndarray, micro: np.ndarray, k: int) -> np
     return order[np.arange(len(order)) - first < k]
 
 
-def neighbours(
-    ids: np.ndarray, x: np.ndarray, side: np.ndarray | None, k: int, floor: float
+def copies(single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each class, class of each row) of rows that are equal bit by bit."""
+    n = len(single)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    odd = np.random.default_rng(5).integers(0, 2**63, single.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    key = (np.ascontiguousarray(single).view(np.uint32).astype(np.uint64) * odd).sum(axis=1)
+    _, first, own = np.unique(key ^ (key >> np.uint64(29)), return_index=True, return_inverse=True)
+    wrong = (single != single[first[own]]).any(axis=1)
+    if wrong.any():  # two vectors of one hash: take each row for itself
+        return np.arange(n), np.arange(n)
+    return first, own
+
+
+def top_rows(
+    x: np.ndarray, side: np.ndarray | None, k: int, floor: float, rounded: bool
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, other, micro): the k most similar of each id, similarity in millionths; x in double precision, unit."""
+    """(row, col, similarity) of the k most similar rows of each row, ties to the smaller row.
+
+    ``x`` are unit vectors in double precision.  With a side only rows of the other side count.  If
+    ``rounded``, similarities are compared, and given, in whole millionths.  Copies are compared once for all,
+    so thousands of them cost no more than their output.
+    """
     single = x.astype(np.float32)
-    whole = np.arange(len(ids))
+    whole = np.arange(len(x))
     turns = [(whole, whole, True)]
     if side is not None:
         zero, one = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         turns = [(zero, one, False), (one, zero, False)]
     out = []
     for a, b, same in turns:
-        for row, col in best(single[a], single[b], k, floor, same):
-            row, col = a[row], b[col]
-            sim = exact(x, x, row, col)
+        ra, ia = copies(single[a])
+        rb, ib = (ra, ia) if same else copies(single[b])
+        members = b[np.argsort(ib, kind="stable")]
+        size = np.bincount(ib, minlength=len(rb))
+        start = np.cumsum(size) - size
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for row, col in best(single[a[ra]], single[b[rb]], k, floor, same):
+            sim = exact(x, x, a[ra[row]], b[rb[col]])
             ok = sim >= floor
-            row, col = row[ok], col[ok]
-            micro = np.rint(sim[ok] * 1e6).astype(np.int32)
-            keep = ranked(ids[row], ids[col], micro, k)
-            out.append((ids[row[keep]], ids[col[keep]], micro[keep]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            row, col, sim = row[ok], col[ok], sim[ok]
+            sim = np.rint(sim * 1e6) if rounded else sim
+            keep = ranked(row, b[rb[col]], sim, k)
+            found.append((row[keep], col[keep], sim[keep]))
+        if same:
+            several = np.flatnonzero(size > 1)
+            ones = np.full(len(several), 1e6 if rounded else 1.0)
+            found.append((several, several, ones))
+        row, col, sim = (np.concatenate(c) for c in zip(*found, strict=True))
+        row, col, sim = _repeated(row, col, sim, np.minimum(size[col], k + 1))  # smallest members of each class
+        turn = np.arange(len(row)) - np.repeat(np.flatnonzero(_starts(row, col)), np.diff(np.r_[np.flatnonzero(_starts(row, col)), len(row)]))
+        col = members[start[col] + turn] if len(col) else col
+        keep = ranked(row, col, sim, k + 1)
+        row, col, sim = row[keep], col[keep], sim[keep]
+        owners = a[np.argsort(ia, kind="stable")]
+        many = np.bincount(ia, minlength=len(ra))
+        begin = np.cumsum(many) - many
+        entry = np.repeat(np.arange(len(row)), many[row]) if len(row) else row
+        nth = np.arange(len(entry)) - np.repeat(np.cumsum(many[row]) - many[row], many[row]) if len(row) else row
+        row, col, sim = (owners[begin[row[entry]] + nth] if len(entry) else row), col[entry], sim[entry]
+        other = row != col
+        row, col, sim = row[other], col[other], sim[other]
+        keep = ranked(row, col, sim, k)
+        out.append((row[keep], col[keep], sim[keep]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _starts(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Marks of the first of equal neighbouring pairs."""
+    return np.r_[True, (row[1:] != row[:-1]) | (col[1:] != col[:-1])] if len(row) else np.zeros(0, bool)
+
+
+def _repeated(row: np.ndarray, col: np.ndarray, sim: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair, once if it was given more often, as often as told."""
+    order = np.lexsort((col, row))
+    order = order[_starts(row[order], col[order])]
+    return tuple(np.repeat(v[order], times[order]) for v in (row, col, sim))
+
+
+def neighbours(
+    ids: np.ndarray, x: np.ndarray, side: np.ndarray | None, k: int, floor: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other, micro): the k most similar of each id, similarity in millionths; ids ascend."""
+    row, col, micro = top_rows(x, side, k, floor, rounded=True)
+    return ids[row], ids[col], micro.astype(np.int32)

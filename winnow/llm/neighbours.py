@@ -21,7 +21,7 @@ def most_similar(
     df: DataFrame,
     k: int = 5,
     floor: float = -1.0,
-    config: ForestConfig = ForestConfig(reach=0.04, leaf_rows=8192),
+    config: ForestConfig = ForestConfig(reach=0.05, leaf_rows=8192),
     ids: str = "id",
     vectors: str = "embedding",
 ) -> DataFrame:
