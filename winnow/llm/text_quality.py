@@ -24,6 +24,33 @@ BRACES = re.compile(r"\{\{[^{}]*\}\}")
 LABEL = re.compile(r"^[^|={}\[\]<>]{0,60}=")
 
 
+#: A parameter of a template, with or without a default.
+PLACEHOLDER = re.compile(r"\{\{\{[^{}]*\}\}\}")
+#: Words in small letters that could be spoken: a vowel, and no long run of either kind.
+VOWELS = "aeiouyäöüáéíóúàèìòùâêîôûëïœæåø"
+SPOKEN = re.compile(rf"(?=.*[{VOWELS}])(?!.*[^{VOWELS}]{{5}})(?!.*[{VOWELS}]{{4}})(?!.*(.)\1\1)(?!.*(..)\2\2)[^\W\d_]+")
+
+
+def _words(text: str) -> tuple[list[str], list[str]]:
+    """Folded words, and the words as written."""
+    found, raw = WORD.findall(fold(text)), WORD.findall(text)
+    return found, raw if len(raw) == len(found) else found
+
+
+def _lettered(line: str) -> bool:
+    """Whether at least half of the visible characters belong to words."""
+    visible = len("".join(line.split()))
+    return 2 * sum(map(len, WORD.findall(line))) >= visible
+
+
+def spoken(raw: list[str]) -> bool:
+    """Whether many words begin with a small letter and nearly all of these could be spoken."""
+    small = [w for w in raw if w[0].islower() and len(w) > 1]
+    if len(small) < 0.4 * len(raw):
+        return False
+    return sum(SPOKEN.fullmatch(w) is not None for w in small) >= 0.93 * len(small)
+
+
 class Quality:
     """Statistics of one text after another."""
 
@@ -31,20 +58,24 @@ class Quality:
         self.common = common
         self.any = set().union(*common.values()) if common else set()
 
-    def running(self, found: list[str]) -> bool:
-        """Whether a piece of text, given by its folded words, reads like sentences.
+    def running(self, found: list[str], raw: list[str]) -> bool:
+        """Whether a piece of text, given by its folded words and the words as written, reads like sentences.
 
         Function words make up a good part of sentences in any language, and several different ones
-        take turns; names, numbers, keyboard noise and repeated words lack one or the other.
+        take turns; names, numbers, keyboard noise and repeated words lack one or the other.  Sentences
+        with few function words are told by small words that could be spoken.
         """
         n = len(found)
         if n < 3:
             return False
         used = [w for w in found if w in self.any and not w.isdigit()]
         kinds = len(set(used))
+        varied = len(set(found)) >= 0.3 * min(n, 60)
         if n < 10:
-            return len(used) >= 0.2 * n and (kinds >= 2 or n <= 5)
-        return len(used) >= 0.1 * n and kinds >= min(8, 2 + n // 20) and len(set(found)) >= 0.3 * min(n, 60)
+            plain = len(used) >= 0.2 * n and (kinds >= 2 or n <= 5)
+        else:
+            plain = len(used) >= 0.1 * n and kinds >= min(8, 2 + n // 20) and varied
+        return plain or (n >= 6 and kinds >= 1 and varied and spoken(raw))
 
     def prose(self, text: str) -> int:
         """Words of the text that are part of running sentences."""
@@ -52,14 +83,15 @@ class Quality:
         if "<" in text:
             text = TAG.sub(self._tag, COMMENT.sub(" ", text))
         if "{{" in text:
+            text = PLACEHOLDER.sub(" ", text)
             pieces: list[str] = []
             for _ in range(12):
                 text, n = BRACES.subn(lambda m: self._template(m[0], pieces), text)
                 if not n:
                     break
             for value in pieces:
-                found = WORD.findall(fold(value))
-                if self.running(found):
+                found, raw = _words(value)
+                if self.running(found, raw):
                     total += len(found)
         block: list[str] = []
         for line in [*LINE.split(text), ""]:
@@ -88,17 +120,16 @@ class Quality:
 
     def _block(self, lines: list[str]) -> int:
         """Words in the sentences of consecutive lines; each line is judged with its neighbours."""
-        found = [WORD.findall(fold(x)) for x in lines]
-        if len(found) == 1:
-            return len(found[0]) if self.running(found[0]) else 0
+        both = [_words(x) if _lettered(x) else ([], []) for x in lines]
         total = 0
-        for k, own in enumerate(found):
-            around = own
-            if len(own) < 24:
-                around = (found[k - 1][-12:] if k else []) + own + (found[k + 1][:12] if k + 1 < len(found) else [])
-            alone = len(own) >= 6 and not any(w in self.any for w in own)
-            if not alone and self.running(around):
-                total += len(own)
+        for k, (own, raw) in enumerate(both):
+            if len(own) >= 24 or len(both) == 1:
+                good = self.running(own, raw)
+            else:
+                before, after = both[k - 1] if k else ([], []), both[k + 1] if k + 1 < len(both) else ([], [])
+                alone = len(own) >= 6 and not any(w in self.any for w in own) and not spoken(raw)
+                good = not alone and self.running(before[0][-12:] + own + after[0][:12], before[1][-12:] + raw + after[1][:12])
+            total += len(own) if good else 0
         return total
 
     def of(self, text: str | None, lang: str) -> tuple:
