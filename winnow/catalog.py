@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of winnow.plans, each with queries() and oracle_sql().
-MODULES = ["vectors", "manifest", "clustering", "sampling", "statistics", "retrieval", "registry", "files"]
+MODULES = ["vectors", "manifest", "clustering", "sampling", "statistics", "retrieval", "registry", "sets", "files"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
