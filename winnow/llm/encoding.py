@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from winnow.functions.partitions import spread
 from winnow.functions.workers import kept
 
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
@@ -152,4 +153,4 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")

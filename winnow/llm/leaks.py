@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.partitions import spread
 from winnow.llm.wikitext import plain, words
 
 K1, B = 1.2, 0.75
@@ -177,11 +178,12 @@ def leaks(
     kind = df.schema[key].dataType.simpleString()
     item_kind = items.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id {item_kind}, passages int, share double, answer_found boolean"
+    texts = spread(df.select(key, text))
     out = None
     for part in range(parts):
         own = slim if parts == 1 else slim.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
         index = build_index([tuple(r) for r in own.collect()], passage)
-        found = df.select(key, text).mapInArrow(_search(index, key, item_kind), schema)
+        found = texts.mapInArrow(_search(index, key, item_kind), schema)
         out = found if out is None else out.unionAll(found)
     return out
 

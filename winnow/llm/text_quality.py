@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.partitions import spread
 from winnow.llm.wikitext import COMMENT, TAG, WORD, fold
 
 #: Statistics with a distribution per language.
@@ -195,7 +196,7 @@ def statistics(df: DataFrame, common: DataFrame, key: str = "doc_id", text: str
     kind = df.schema[key].dataType.simpleString()
     doubles = ", ".join(f"{s} double" for s in STATISTICS[1:])
     few = df.select(key, language(F.col(lang), sorted(table)).alias("language"), text)
-    return few.mapInArrow(run, f"`{key}` {kind}, language string, word_count long, {doubles}")
+    return spread(few).mapInArrow(run, f"`{key}` {kind}, language string, word_count long, {doubles}")
 
 
 def sketches(stats: DataFrame) -> DataFrame:
