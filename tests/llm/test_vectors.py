@@ -95,6 +95,24 @@ def test_chosen_paths_with_many_copies():
     assert len(row) == 300 * 299 // 2 and (row < col).all()
 
 
+@pytest.mark.parametrize("divided", [False, True])
+def test_chosen_paths_find_near_vectors_beside_copies(divided):
+    rng = np.random.default_rng(0)
+    ball = _unit(rng) + 0.018 * rng.normal(size=(6000, DIM))
+    x = np.vstack([np.tile(_unit(rng), (1500, 1)), ball, ball[:2]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = (np.arange(len(x)) % 2).astype(np.int8) if divided else None
+    row, col, sim = near_duplicates.chosen_paths(x, side, 0.985, bucket=50)
+    s = np.triu(x @ x.T >= 0.985, 1)
+    if divided:
+        s &= side[:, None] != side[None, :]
+    near = s.copy()
+    near[:1500, :1500] = False
+    assert s[row, col].all() and (row < col).all() and len(np.unique(row * len(x) + col)) == len(row)
+    assert ((row < 1500) & (col < 1500)).sum() == s[:1500, :1500].sum()
+    assert near.sum() > 1000 and near[row, col].sum() >= 0.99 * near.sum()
+
+
 def test_contradictions(spark):
     pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0), (1, 5, 1.0), (1, 6, 1.0), (1, 7, 1.0), (1, 99, 1.0)], "id_a long, id_b long, similarity double")
     records = spark.createDataFrame(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from winnow.llm.buckets import compared, fitted
 from winnow.llm.components import components
 from winnow.llm.forest import ForestConfig
-from winnow.llm.kernels import SLACK, exact
+from winnow.llm.kernels import BLOCK, SLACK, copies, exact
 from winnow.llm.packs import unit
 
 CONFIG = ForestConfig(reach=0.02, leaf_rows=8192)
@@ -31,38 +31,103 @@ def chosen_paths(
     A record's tokens are the sides on which it lies of random hyperplanes.  A run starts with all
     records in one set; every set of more than ``bucket`` records samples a hyperplane and is split by
     that token at its median, so the next hyperplane only has to tell apart what is alike already.
-    Small sets are compared in full.  Runs are repeated until the pairs that no run has found yet are
-    estimated at less than a share of ``1 - recall``: with f1 pairs found by one run only and f2 by
-    two, about f1 * f1 / (2 * f2) are missing (Chao).  Sets that no hyperplane splits (copies) are
-    compared in full, in blocks.
+    Small sets are compared in full.  Copies take part as one record, and their pairs are added at the
+    end: every run would find them, so they say nothing about the others.
+
+    Runs are repeated until the pairs that no run has found yet are estimated at no more than a share of
+    ``1 - recall`` (:func:`_complete`).  Where ``most`` runs don't reach that, or as many comparisons as
+    all pairs would take, all pairs are compared.
     """
-    n, dim = x.shape
     single = x.astype(np.float32)
+    first, own = copies(single)
+    kinds = None
+    if side is not None:  # the sides on which a class has members, as bits
+        kinds = np.zeros(len(first), np.int8)
+        np.bitwise_or.at(kinds, own, (1 + side).astype(np.int8))
+    n = len(first)
+    ones = single[first]
     rng = np.random.default_rng(seed)
     codes = np.zeros(0, np.int64)
     times = np.zeros(0, np.int64)
+    sims = np.zeros(0)
     runs = 0
-    while runs < most:
+    while not _complete(sims, times, runs, floor, recall, least):
+        if runs >= most or (runs + least) * bucket >= n // 2:
+            codes = _hits(ones, kinds, floor, np.arange(n))
+            break
         runs += 1
-        hit = _run(single, side, floor, bucket, rng)
+        hit = _run(ones, kinds, floor, bucket, rng)
         merged, at = np.unique(np.r_[codes, hit], return_inverse=True)
         count = np.zeros(len(merged), np.int64)
         count[at[: len(codes)]] = times
         count[at[len(codes) :]] += 1
-        codes, times = merged, count
-        if n <= bucket:
-            break
-        once, twice = int((times == 1).sum()), int((times == 2).sum())
-        missing = once * max(0, once - 1) / (2 * (twice + 1))
-        if runs >= least and missing <= (1 - recall) * (len(codes) + missing):
-            break
-    row, col = codes // max(1, n), codes % max(1, n)
+        sim = np.full(len(merged), np.nan)
+        sim[at[: len(codes)]] = sims
+        new = np.isnan(sim)
+        sim[new] = exact(x, x, first[merged[new] // n], first[merged[new] % n])
+        codes, times, sims = merged, count, sim
+    row, col = _members(codes // max(1, n), codes % max(1, n), own, n)
+    if side is not None:
+        ok = side[row] != side[col]
+        row, col = row[ok], col[ok]
     sim = exact(x, x, row, col)
     ok = sim >= floor
     return row[ok], col[ok], sim[ok]
 
 
-def _run(x: np.ndarray, side: np.ndarray | None, floor: float, bucket: int, rng: np.random.Generator) -> np.ndarray:
+def _complete(sims: np.ndarray, times: np.ndarray, runs: int, floor: float, recall: float, least: int) -> bool:
+    """Whether the pairs of different vectors that no run has found are few enough, also near the floor.
+
+    With f1 pairs found by one run only and f2 by two, Chao's f1 * (f1 - 1) / (2 * (f2 + 1)) is a lower
+    bound of what is missing, so the jackknife's f1 * (runs - 1) / runs is taken where it is more.  The
+    pairs nearest to the floor are the likeliest to be split: the share holds for the lowest quarter and
+    half of the similarities, too, not just for all.
+    """
+    if runs < least:
+        return False
+    for part in (0.25, 0.5, 1.0):
+        seen = times[(sims >= floor) & (sims <= floor + part * (1 - floor) + (part == 1.0))]
+        once, twice = int((seen == 1).sum()), int((seen == 2).sum())
+        missing = max(once * max(0, once - 1) / (2 * (twice + 1)), once * (runs - 1) / runs)
+        if missing > (1 - recall) * (len(seen) + missing):
+            return False
+    return True
+
+
+def _members(row: np.ndarray, col: np.ndarray, own: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows, smaller row first, of pairs of classes and within each class."""
+    members = np.argsort(own, kind="stable")
+    size = np.bincount(own, minlength=classes)
+    start = np.cumsum(size) - size
+    several = np.flatnonzero(size > 1)
+    row, col = np.r_[row, several], np.r_[col, several]
+    many = size[row] * size[col]
+    pair = np.repeat(np.arange(len(row)), many)
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+    wide = size[col[pair]]
+    i, j = members[start[row[pair]] + nth // wide], members[start[col[pair]] + nth % wide]
+    ok = (row[pair] != col[pair]) | (i < j)
+    i, j = i[ok], j[ok]
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def _hits(x: np.ndarray, kinds: np.ndarray | None, floor: float, own: np.ndarray) -> np.ndarray:
+    """Codes row * n + col, row < col, of the candidates among the rows ``own``, in blocks."""
+    found = [np.zeros(0, np.int64)]
+    step = max(1, min(4096, BLOCK // max(1, len(own))))
+    for at in range(0, len(own), step):
+        part, rest = own[at : at + step], own[at:]
+        i, j = np.nonzero(x[part] @ x[rest].T >= floor - SLACK)
+        later = j > i
+        i, j = part[i[later]], rest[j[later]]
+        if kinds is not None:
+            ok = (kinds[i] | kinds[j]) == 3
+            i, j = i[ok], j[ok]
+        found.append(np.minimum(i, j) * len(x) + np.maximum(i, j))
+    return np.concatenate(found)
+
+
+def _run(x: np.ndarray, kinds: np.ndarray | None, floor: float, bucket: int, rng: np.random.Generator) -> np.ndarray:
     """Codes row * n + col, row < col, of the candidates of one run."""
     n, dim = x.shape
     open_ = np.arange(n)
@@ -103,16 +168,7 @@ def _run(x: np.ndarray, side: np.ndarray | None, floor: float, bucket: int, rng:
         rows = rows[order]
         bounds = np.r_[0, np.flatnonzero(np.diff(groups[order])) + 1, len(rows)]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = rows[a:b]
-            for at in range(0, len(own), 4096):
-                part = own[at : at + 4096]
-                s = x[part] @ x[own].T
-                i, j = np.nonzero(s >= floor - SLACK)
-                i, j = part[i], own[j]
-                ok = i < j
-                if side is not None:
-                    ok &= side[i] != side[j]
-                found.append(i[ok] * n + j[ok])
+            found.append(_hits(x, kinds, floor, rows[a:b]))
     return np.concatenate(found)
 
 
