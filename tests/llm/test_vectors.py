@@ -88,6 +88,17 @@ def test_near_pairs(spark, config):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_near_pairs_on_both_sides_of_planes(spark):
+    rng = np.random.default_rng(6)
+    x = np.zeros((1500, DIM), np.float32)
+    x[:, :3] = rng.normal(size=(1500, 3))
+    s = _cosines(x)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.98), strict=True) if i < j}
+    config = ForestConfig(reach=0.02, leaf_rows=60, min_sample=10)
+    got = {(r.id_a, r.id_b) for r in near_duplicates.near_pairs(_table(spark, np.arange(1500), x), config=config).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_chosen_paths_with_many_copies():
     rng = np.random.default_rng(0)
     x = np.vstack([np.tile(_unit(rng), (300, 1)), [_unit(rng) for _ in range(300)]])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -184,11 +186,15 @@ def near_pairs(
 
     The first token of a record's path is its leaf of one random-projection tree, which decides the
     task; the rest of the path is taken within the task (:func:`chosen_paths`), where the vectors are at
-    hand, so repeated runs move nothing.
+    hand, so repeated runs move nothing.  Two vectors of cosine ``floor`` are 2 * reach apart, with reach =
+    sqrt((1 - floor) / 2).  If every vector within reach of a plane goes to both sides, such a pair is
+    together on one side of every plane, so it shares a leaf whatever the number of planes.  A smaller
+    reach of ``config`` is widened to that.
 
     Defined cases: as for :func:`winnow.llm.neighbours.most_similar`; copies are pairs.
     """
-    forest = fitted(df, config, ids, vectors)
+    whole = float(np.sqrt((1 - floor) / 2)) + SLACK
+    forest = fitted(df, replace(config, reach=max(config.reach, whole)), ids, vectors)
 
     def work(i: np.ndarray, x: np.ndarray, side: np.ndarray | None) -> pa.Table:
         row, col, sim = chosen_paths(unit(x), side, floor, recall=recall)
