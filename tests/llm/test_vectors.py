@@ -135,6 +135,16 @@ def test_contradictions(spark):
     assert {(r.id, r.group_id, r.links) for r in near_duplicates.groups(got).collect()} == {(1, 1, 5)} | {(k, 1, 1) for k in (2, 5, 6, 7, 99)}
 
 
+def test_cores_of_a_divided_leaf(spark):
+    ids, x = _groups(3, sizes=(150, 60), lone=20)
+    config = ForestConfig(reach=0.5, leaf_rows=10_000, leaf_cap=40)
+    want = 1 - np.sort(_cosines(x), axis=1)[:, -5]
+    cores = clusters.reachability_forest(_table(spark, ids, x), 5, 0.5, config)[1].collect()
+    got = {r.id: r.core for r in cores}
+    assert len(cores) == len(ids)
+    assert np.allclose([got[int(i)] for i in ids], want, atol=1e-9)
+
+
 def test_density_clusters(spark):
     ids, x = _groups(3, sizes=(120, 60, 30), lone=20)
     out = clusters.density_clusters(_table(spark, ids, x), least=8, neighbours=3, floor=0.5, levels=4).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from winnow.llm.forest import Forest, ForestConfig, fit_forest
-from winnow.llm.packs import PACKED, batches, mix, packed, regroup, sampled, unit, unpack_all
+from winnow.llm.packs import PACKED, mix, packed, regroup, sampled, unit, unpack_all, usable
 
 
 def fitted(df: DataFrame, config: ForestConfig, ids: str = "id", vectors: str = "embedding") -> Forest:
@@ -46,33 +46,47 @@ def visits(forest: Forest, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray,
 def compared(
     df: DataFrame,
     forest: Forest,
-    work: Callable[[np.ndarray, np.ndarray, np.ndarray | None], pa.Table],
+    work: Callable[..., pa.Table],
     schema: str,
     ids: str = "id",
     vectors: str = "embedding",
+    value: str | None = None,
 ) -> DataFrame:
     """Run ``work(ids, vectors, side)`` on every task.
 
     ids are distinct and ascending.  side is None where all pairs are to be compared; for a pair of
     different blocks of one leaf it tells the block of each row, and pairs within a block are the
-    business of other tasks.
+    business of other tasks.  ``value`` is a column of doubles that depends on the id alone; it is handed to
+    ``work`` as a fourth argument.
     """
     dim = forest.config.dim
     first, blocks = tasks_of(forest), forest.blocks()
 
-    def send(i: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        row, task = visits(forest, i, x)  # the forest is as large as its sample allows
-        return packed(task, [i[row], x[row]])
+    kinds = [(np.int64, 0), (np.float32, dim)] + ([(np.float64, 0)] if value else [])
+
+    def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            i, x = usable(batch, dim, ids, vectors)
+            if not len(i):
+                continue
+            columns = [i, x]
+            if value:
+                known = batch.column(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(known, kind="stable")
+                own = batch.column(value).to_numpy(zero_copy_only=False).astype(np.float64)
+                columns.append(own[order[np.searchsorted(known[order], i)]])
+            row, task = visits(forest, i, x)  # the forest is as large as its sample allows
+            yield packed(task, [c[row] for c in columns])
 
     def receive(table: pa.Table) -> pa.Table:
         task = table.column("task")[0].as_py()
-        i, x = unpack_all(table.column("pack"), [(np.int64, 0), (np.float32, dim)])
+        i, x, *more = unpack_all(table.column("pack"), kinds)
         i, at = np.unique(i, return_index=True)  # rows delivered twice
         leaf = int(np.searchsorted(first, task, side="right") - 1)
         b = int(blocks[leaf])
         low, high = divmod(task - int(first[leaf]), b)
         side = None if low == high else (mix(i) % np.uint64(b) == np.uint64(high)).astype(np.int8)
-        return work(i, x[at], side)
+        return work(i, x[at], side, *(m[at] for m in more))
 
-    routed = df.select(ids, vectors).mapInArrow(batches(send, dim, ids, vectors), PACKED)
+    routed = df.select(ids, vectors, *([value] if value else [])).mapInArrow(send, PACKED)
     return regroup(routed, int(first[-1]), receive, schema)
