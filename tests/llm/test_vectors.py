@@ -145,6 +145,37 @@ def test_cores_of_a_divided_leaf(spark):
     assert np.allclose([got[int(i)] for i in ids], want, atol=1e-9)
 
 
+def _forest_weight(edges):
+    """Edges and weight of a minimum spanning forest of (distance, a, b)."""
+    root, weights = {}, []
+
+    def top(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for d, a, b in sorted(edges):
+        a, b = top(a), top(b)
+        if a != b:
+            root[a] = b
+            weights.append(d)
+    return len(weights), sum(weights)
+
+
+def test_forest_spans_groups_that_planes_part(spark):
+    rng = np.random.default_rng(8)
+    q = np.linalg.qr(rng.normal(size=(DIM, 9)))[0].T
+    x = np.vstack([np.sqrt(0.6) * q[0] + np.sqrt(0.4) * q[k] + 0.02 * rng.normal(size=(60, DIM)) for k in range(1, 9)]).astype(np.float32)
+    s = _cosines(x)
+    core = 1 - np.sort(s, axis=1)[:, -5]
+    d = np.maximum(np.maximum(1 - s, core[:, None]), core[None, :])
+    want = _forest_weight((d[i, j], i, j) for i, j in zip(*np.nonzero(s >= 0.5), strict=True) if i < j)
+    config = ForestConfig(reach=0.04, leaf_rows=60, min_sample=10)
+    edges = clusters.reachability_forest(_table(spark, np.arange(480), x, dirty=False), 5, 0.5, config)[0].collect()
+    got = _forest_weight((r.distance, r.a, r.b) for r in edges)
+    assert want[0] == 479 and got[0] == want[0] and abs(got[1] - want[1]) < 1e-6
+
+
 def test_density_clusters(spark):
     ids, x = _groups(3, sizes=(120, 60, 30), lone=20)
     out = clusters.density_clusters(_table(spark, ids, x), least=8, neighbours=3, floor=0.5, levels=4).collect()
