@@ -1,5 +1,7 @@
 """Vector operators against brute force, with what may be wrong in the rows."""
 
+import inspect
+
 import numpy as np
 import pytest
 
@@ -64,6 +66,20 @@ def test_most_similar(spark, config):
     assert all(abs(r.similarity - s[at[r.id], at[r.neighbor_id]]) < 1e-6 for r in out)
 
 
+def test_leaves_hold_dissimilar_neighbours():
+    rng = np.random.default_rng(3)
+    groups = np.vstack([c + 0.04 * rng.normal(size=(100, DIM)) for c in (_unit(rng) for _ in range(40))])
+    x = np.vstack([groups, rng.normal(size=(300, DIM))])
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    reach = inspect.signature(neighbours.most_similar).parameters["config"].default.reach
+    forest = fit_forest(x, len(x), ForestConfig(reach=reach, leaf_rows=400))
+    row, leaf, _ = forest.route(x)
+    at = np.zeros((len(x), forest.leaves), bool)
+    at[row, leaf] = True
+    best = np.argsort(-_cosines(x)[4000:], axis=1)[:, :5]
+    assert (at[4000:, None] & at[best]).any(2).mean() >= 0.9  # lone vectors, cosines of about 0.4
+
+
 @pytest.mark.parametrize("config", SMALL)
 def test_linked(spark, config):
     ids, x = _groups(1)

@@ -25,7 +25,7 @@ def p1_subsets(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     features = spark.read.parquet(f"{folder}/features.parquet")
-    return neighbours.similar_pairs(neighbours.most_similar(features, k=5, floor=0.82))
+    return neighbours.similar_pairs(neighbours.most_similar(features, k=5, floor=0.82, config=neighbours.ALIKE))
 
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
