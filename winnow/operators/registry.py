@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.lineage import cut
+
 
 class AmbiguousRun(ValueError):
     """No run or several runs fit."""
@@ -72,16 +74,21 @@ def parent(params: str = "params", tags: str = "tags") -> Column:
     return F.coalesce(*keys)
 
 
-def lineage(runs: DataFrame, depth: int = 6) -> DataFrame:
-    """(run_id, step, ancestor_id, experiment): the runs a run goes back to, as far as they are known."""
+def lineage(runs: DataFrame) -> DataFrame:
+    """(run_id, step, ancestor_id, experiment): the runs a run goes back to, as far as they are known.
+
+    A chain that comes back to a run ends before that run is named again.
+    """
     links = runs.select("run_id", parent().alias("parent_id"), "experiment")
-    out, front = None, links.select("run_id", F.col("parent_id").alias("ancestor_id"))
-    for k in range(1, depth + 1):
-        own = links.select(F.col("run_id").alias("ancestor_id"), F.col("parent_id").alias("next"), "experiment")
-        hit = front.where("ancestor_id is not null").join(own, "ancestor_id")
+    own = links.select(F.col("run_id").alias("ancestor_id"), F.col("parent_id").alias("next"), "experiment")
+    front = links.select("run_id", F.col("parent_id").alias("ancestor_id"), F.array("run_id").alias("seen"))
+    out, k = None, 0
+    while out is None or not front.isEmpty():
+        k += 1
+        hit = cut(front.where("ancestor_id is not null and not array_contains(seen, ancestor_id)").join(own, "ancestor_id"))
         rows = hit.select("run_id", F.lit(k).alias("step"), "ancestor_id", "experiment")
         out = rows if out is None else out.unionAll(rows)
-        front = hit.select("run_id", F.col("next").alias("ancestor_id"))
+        front = hit.select("run_id", F.col("next").alias("ancestor_id"), F.concat("seen", F.array("ancestor_id")).alias("seen"))
     return out
 
 
