@@ -7,9 +7,10 @@ on their side and every point within ``reach`` of the plane, and a leaf of ``m``
 squared.  A node that no plane makes cheaper stays whole, so a dense ball of alike vectors, which no
 hyperplane separates from its own neighbours, is compared exactly instead of being cut blindly.
 
-Searching is the usual best-first search with one priority queue over the leaves of all trees: the
-priority of a leaf is the worst signed margin on its path, and a vector visits its best leaf of every
-tree and all leaves whose priority is at least ``-reach``.  There is no limit on their number.
+By default it is a single tree with overlapping leaves: a vector visits its best leaf and all leaves on
+whose path no plane is more than ``reach`` on the wrong side.  There is no priority queue that is popped
+until enough neighbours are good: every vector is a query and the leaves are whole tasks, so the visits
+are fixed before the vectors are moved.  There is no limit on their number.
 
 A leaf that is expected to hold more than ``leaf_cap`` rows (thousands of copies of one vector, or a
 ball with a third of all rows) is not one task: :meth:`Forest.blocks` divides it into blocks and the

@@ -34,8 +34,7 @@ def most_similar(
     Similarity is the cosine in double precision, rounded to six decimals for ranking and output; ties
     go to the smaller id.  Neighbours below ``floor`` (compared before rounding) are left out.
 
-    Method: a random-projection forest whose leaves are searched best first through one queue, then
-    exact ranking of all pairs of a leaf (see :mod:`winnow.llm.forest`).  Two shuffles: the vectors to
+    Method: a random-projection tree with overlapping leaves, no priority queue, then exact ranking of all pairs of a leaf (see :mod:`winnow.llm.forest`).  Two shuffles: the vectors to
     their leaves, and the short lists of the leaves to the ids.  Neighbours that share no leaf are
     missed; ``reach`` and ``trees`` lower their number.
 
