@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +24,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a reliable checkpoint."""
+    """The same rows, read from a reliable checkpoint.
+
+    A checkpoint keeps the estimated size of what it was made from, and that of a join is a product: in
+    a loop of joins the estimate grows without bound.  So the rows are taken up as a new source of unknown size.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    try:
+        rows = kept._jdf.queryExecution().toRdd()
+        fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False)
+    except (AttributeError, Py4JError):
+        return kept
+    return DataFrame(fresh, df.sparkSession)
