@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,81 +12,165 @@ from pyspark.sql import DataFrame
 from winnow.llm.forest import Forest, ForestConfig, fit_forest
 from winnow.llm.packs import PACKED, mix, packed, regroup, sampled, unit, unpack_all, usable
 
+#: Visitors of one task, in times of the rows that a leaf may have at home.
+VISITORS = 4
 
-def fitted(df: DataFrame, config: ForestConfig, ids: str = "id", vectors: str = "embedding") -> Forest:
-    """A forest for the table, fitted on a sample of at most about ``config.sample_rows`` rows."""
-    rows = df.select(ids).count()
-    sample = sampled(df, rows, config.sample_rows, config.dim, ids, vectors, config.seed)
-    return fit_forest(sample, rows, replace(config, dim=sample.shape[1] if sample.size else config.dim))
 
+@dataclass
+class Index:
+    """A forest, and the vectors of which very many rows are copies.
 
-def tasks_of(forest: Forest) -> np.ndarray:
-    """First task number of each leaf, and the number of all tasks as the last entry.
+    ``heavy`` has the bytes of each such vector and the smallest ids of its rows.  Only these rows take
+    part in the forest; what holds for a copy with a larger id follows from them, without moving it.
+    """
+
+    forest: Forest
+    rows: int
+    heavy: dict[bytes, np.ndarray]
+
+
+def _keys(x: np.ndarray) -> list[bytes]:
+    """The bytes of each unit vector in single precision."""
+    single = np.ascontiguousarray(unit(x).astype(np.float32) + np.float32(0))  # no negative zeros
+    width = single.shape[1] * 4
+    raw = single.tobytes()
+    return [raw[at : at + width] for at in range(0, len(raw), width)]
 
-    A leaf of b blocks has b * b numbers; the pair of blocks (i, j), i <= j, is task i * b + j of it.
+
+def fitted(df: DataFrame, config: ForestConfig, ids: str = "id", vectors: str = "embedding", first: int = 6) -> Index:
+    """A forest for the table, fitted on a sample of at most about ``config.sample_rows`` rows.
+
+    Vectors of which the sample promises more than half of ``config.leaf_max`` copies are heavy; there are at
+    most ``2 * rows / leaf_max`` of them.  The ``first`` smallest ids of each are gathered from all rows; with 0 no
+    vector is heavy.
     """
-    return np.concatenate([[0], np.cumsum(forest.blocks() ** 2)])
+    rows = df.select(ids).count()
+    sample = sampled(df, rows, config.sample_rows, config.dim, ids, vectors, config.seed)
+    config = replace(config, dim=sample.shape[1] if sample.size else config.dim)
+    keys, count = np.unique(np.array(_keys(sample), object), return_counts=True) if len(sample) else ([], np.zeros(0))
+    often = max(8.0, config.leaf_max / 2 * len(sample) / max(1, rows))
+    heavy = {k: np.zeros(0, np.int64) for k, c in zip(keys, count, strict=True) if first and c >= often and rows > config.leaf_max}
+    if heavy:
+        at = {k: n for n, k in enumerate(heavy)}
+        dim = config.dim
+
+        def smallest(i: np.ndarray, which: np.ndarray) -> pa.RecordBatch:
+            i, own = np.unique(i, return_index=True)
+            which = which[own]
+            order = np.lexsort((i, which))
+            i, which = i[order], which[order]
+            begin = np.maximum.accumulate(np.where(np.r_[True, which[1:] != which[:-1]], np.arange(len(i)), 0))
+            few = np.arange(len(i)) - begin < first
+            return pa.RecordBatch.from_arrays([pa.array(which[few]), pa.array(i[few])], names=["heavy", "id"])
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            i, which = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for batch in parts:
+                j, x = usable(batch, dim, ids, vectors)
+                if not len(j):
+                    continue
+                w = np.array([at.get(k, -1) for k in _keys(x)])
+                kept = smallest(np.r_[i, j[w >= 0]], np.r_[which, w[w >= 0]])
+                which, i = (c.to_numpy() for c in kept.columns)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(i)], names=["heavy", "id"])
+
+        found = df.select(ids, vectors).mapInArrow(run, "heavy long, id long").toArrow()  # at most ``first`` a partition and vector
+        if found.num_rows:
+            kept = smallest(found.column("id").to_numpy(), found.column("heavy").to_numpy())
+            which, i = (c.to_numpy() for c in kept.columns)
+            heavy = {k: i[which == n] for k, n in at.items()}
+        sample = sample[[k not in heavy for k in _keys(sample)]]
+    return Index(fit_forest(sample, rows, config), rows, heavy)
 
 
-def visits(forest: Forest, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, task) of every task that a vector takes part in."""
-    row, leaf, _ = forest.route(unit(x).astype(np.float32))
-    blocks, first = forest.blocks(), tasks_of(forest)
-    one = blocks[leaf] == 1
-    rows, tasks = [row[one]], [first[leaf[one]]]
-    for r, q in zip(row[~one], leaf[~one], strict=True):
-        b = int(blocks[q])
-        own = int(mix(ids[r : r + 1])[0] % np.uint64(b))
-        other = np.arange(b)
-        rows.append(np.full(b, r))
-        tasks.append(first[q] + np.minimum(own, other) * b + np.maximum(own, other))
-    return np.concatenate(rows), np.concatenate(tasks)
+def tasks_of(forest: Forest) -> np.ndarray:
+    """First task number of each leaf, and the number of all tasks as the last entry."""
+    most = VISITORS * forest.config.leaf_max
+    return np.concatenate([[0], np.cumsum(np.maximum(1, np.ceil(forest.expected_visits / most)))]).astype(np.int64)
+
+
+def visits(forest: Forest, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, task, home) of every task that a vector takes part in."""
+    row, leaf, home = forest.route(unit(x).astype(np.float32))
+    first = tasks_of(forest)
+    parts = np.diff(first)[leaf]
+    task = first[leaf] + (mix(ids[row]) % parts.astype(np.uint64)).astype(np.int64)
+    many = np.flatnonzero(home & (parts > 1))  # a row at home is in all tasks of its leaf
+    if len(many):
+        again = np.repeat(many, parts[many])
+        nth = np.arange(len(again)) - np.repeat(np.cumsum(parts[many]) - parts[many], parts[many])
+        one = np.setdiff1d(np.arange(len(row)), many)
+        row, task, home = np.r_[row[one], row[again]], np.r_[task[one], first[leaf[again]] + nth], np.r_[home[one], home[again]]
+    return row, task, home
 
 
 def compared(
     df: DataFrame,
-    forest: Forest,
+    index: Index,
     work: Callable[..., pa.Table],
     schema: str,
     ids: str = "id",
     vectors: str = "embedding",
-    value: str | None = None,
 ) -> DataFrame:
-    """Run ``work(ids, vectors, side)`` on every task.
+    """Run ``work(ids, vectors, home)`` on every task.
 
-    ids are distinct and ascending.  side is None where all pairs are to be compared; for a pair of
-    different blocks of one leaf it tells the block of each row, and pairs within a block are the
-    business of other tasks.  ``value`` is a column of doubles that depends on the id alone; it is handed to
-    ``work`` as a fourth argument.
+    ids are distinct and ascending; home tells the rows at home in the leaf from its visitors.  Rows that
+    :func:`of_heavy` accounts for are left out.
     """
+    forest, heavy = index.forest, index.heavy
     dim = forest.config.dim
-    first, blocks = tasks_of(forest), forest.blocks()
-
-    kinds = [(np.int64, 0), (np.float32, dim)] + ([(np.float64, 0)] if value else [])
+    kinds = [(np.int64, 0), (np.float32, dim), (np.int8, 0)]
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            i, x = usable(batch, dim, ids, vectors)
-            if not len(i):
-                continue
-            columns = [i, x]
-            if value:
-                known = batch.column(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(known, kind="stable")
-                own = batch.column(value).to_numpy(zero_copy_only=False).astype(np.float64)
-                columns.append(own[order[np.searchsorted(known[order], i)]])
-            row, task = visits(forest, i, x)  # the forest is as large as its sample allows
-            yield packed(task, [c[row] for c in columns])
+        for i, x in _gathered(parts, dim, ids, vectors):
+            if heavy:
+                few = [(at := heavy.get(k)) is None or n in at for n, k in zip(i, _keys(x), strict=True)]
+                i, x = i[few], x[few]
+            row, task, home = visits(forest, i, x)  # the forest is as large as its sample allows
+            yield packed(task, [i[row], x[row], home.astype(np.int8)])
 
     def receive(table: pa.Table) -> pa.Table:
-        task = table.column("task")[0].as_py()
-        i, x, *more = unpack_all(table.column("pack"), kinds)
+        i, x, home = unpack_all(table.column("pack"), kinds)
         i, at = np.unique(i, return_index=True)  # rows delivered twice
-        leaf = int(np.searchsorted(first, task, side="right") - 1)
-        b = int(blocks[leaf])
-        low, high = divmod(task - int(first[leaf]), b)
-        side = None if low == high else (mix(i) % np.uint64(b) == np.uint64(high)).astype(np.int8)
-        return work(i, x[at], side, *(m[at] for m in more))
-
-    routed = df.select(ids, vectors, *([value] if value else [])).mapInArrow(send, PACKED)
-    return regroup(routed, int(first[-1]), receive, schema)
+        return work(i, x[at], home[at] > 0)
+
+    routed = df.select(ids, vectors).mapInArrow(send, PACKED)
+    return regroup(routed, int(tasks_of(forest)[-1]), receive, schema)
+
+
+def of_heavy(
+    df: DataFrame, index: Index, work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str, ids: str, vectors: str
+) -> DataFrame | None:
+    """``work(ids, firsts)`` over the copies that :func:`compared` leaves out; firsts has for each the smallest
+    ids of its vector.  None if there are none."""
+    heavy, dim = index.heavy, index.forest.config.dim
+    if not heavy:
+        return None
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, x in _gathered(parts, dim, ids, vectors):
+            lists = [heavy.get(k) for k in _keys(x)]
+            left = [n for n, at in enumerate(lists) if at is not None and i[n] not in at]
+            if left:
+                yield work(i[left], np.stack([lists[n] for n in left]))
+
+    return df.select(ids, vectors).mapInArrow(run, schema)
+
+
+def _gathered(
+    parts: Iterator[pa.RecordBatch], dim: int, ids: str, vectors: str, rows: int = 50_000
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The usable vectors of the batches, about ``rows`` at a time: larger packs are compressed better."""
+    i: list[np.ndarray] = []
+    x: list[np.ndarray] = []
+    for batch in parts:
+        j, y = usable(batch, dim, ids, vectors)
+        if len(j):
+            i.append(j)
+            x.append(y)
+        if sum(map(len, i)) >= rows:
+            yield np.concatenate(i), np.concatenate(x)
+            i, x = [], []
+    if i:
+        yield np.concatenate(i), np.concatenate(x)

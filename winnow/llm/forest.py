@@ -1,20 +1,22 @@
-"""Random-projection forest: routing of unit vectors into leaves that are compared in full.
-
-A tree is fitted on a bounded sample (``ForestConfig.sample_rows``); every row of the table is
-routed.  A node is cut by a hyperplane between the means of two random groups of its sample.  Of
-several such planes the one that promises the least work is taken: the two children hold every point
-on their side and every point within ``reach`` of the plane, and a leaf of ``m`` points costs ``m``
-squared.  A node that no plane makes cheaper stays whole, so a dense ball of alike vectors, which no
-hyperplane separates from its own neighbours, is compared exactly instead of being cut blindly.
-
-By default it is a single tree with overlapping leaves: a vector visits its best leaf and all leaves on
-whose path no plane is more than ``reach`` on the wrong side.  There is no priority queue that is popped
-until enough neighbours are good: every vector is a query and the leaves are whole tasks, so the visits
-are fixed before the vectors are moved.  There is no limit on their number.
-
-A leaf that is expected to hold more than ``leaf_cap`` rows (thousands of copies of one vector, or a
-ball with a third of all rows) is not one task: :meth:`Forest.blocks` divides it into blocks and the
-pairs of blocks become the tasks, so memory is bounded and no pair is lost.
+"""Random-projection forest searched through one priority queue over the leaves of all its trees.
+
+The trees are fitted on a bounded sample (``ForestConfig.sample_rows``); every row of the table is
+routed.  A node of more than ``leaf_max`` expected rows is always cut, so that the work of a vector does
+not grow with the group that it lies in; a node of more than ``leaf_rows`` is cut where a plane lowers the
+expected work.  A plane lies between the means of two random groups of the node's sample; of several
+such planes the one that promises the least work is taken.
+
+The queue of a vector holds the leaves of all trees.  A leaf's priority is the chance that a
+neighbour lies in it: over the planes of its path, the product of the chances that a neighbour lies
+on the leaf's side.  That follows from the vector's distance to the plane and ``spread``, the standard
+deviation of the step to a neighbour along any one direction.  Leaves are popped, the home in the first tree
+first, until the chance that the popped leaves of all trees lack a neighbour is at most ``miss``.
+There is no limit on the number of leaves; a vector far from all planes visits one.
+
+In a leaf, the visitors are compared with the rows at home there, not with each other, and a pair counts for
+both its rows.  A leaf with many visitors is several tasks, each with all rows at home and a part of the
+visitors, so no task outgrows a bound.  What no plane can part are copies of one vector; see
+:mod:`winnow.llm.buckets`.
 """
 
 from __future__ import annotations
@@ -23,69 +25,81 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+#: The slope at which the logistic curve is nearest to the normal distribution.
+LOGISTIC = 1.702
+
 
 @dataclass(frozen=True)
 class ForestConfig:
     """Parameters of the forest.
 
-    ``sample_rows`` bounds what the driver sees.  ``leaf_rows`` is the size below which a node is not
-    cut, ``leaf_cap`` the most rows of one block of a leaf.
+    ``sample_rows`` bounds what the driver sees.
     """
 
     dim: int = 64
-    trees: int = 1
-    reach: float = 0.07
+    trees: int = 2
+    spread: float = 0.05
+    miss: float = 0.1
     sample_rows: int = 20_000
-    leaf_rows: int = 1_024
-    leaf_cap: int = 49_152
+    leaf_rows: int = 4_096
+    leaf_max: int = 8_192
     planes: int = 24
     min_sample: int = 24
     gain: float = 0.9
     copy_cost: float = 0.35
-    max_depth: int = 40
+    max_depth: int = 60
     seed: int = 7
 
 
 @dataclass
 class Forest:
-    """Planes of all trees side by side, and for each leaf the planes and signs on its path."""
+    """Planes of all trees side by side, and for each leaf the planes on its path, +1 or -1 for the side."""
 
     planes: np.ndarray
     offsets: np.ndarray
-    paths: list[list[tuple[int, int]]]
+    sides: np.ndarray
     tree_of_leaf: np.ndarray
     expected_rows: np.ndarray
+    expected_visits: np.ndarray
     config: ForestConfig = field(default_factory=ForestConfig)
 
     @property
     def leaves(self) -> int:
-        return len(self.paths)
-
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """Worst signed margin on the path to each leaf, rows by leaves; infinite at a lone root."""
-        z = x @ self.planes.T - self.offsets if len(self.planes) else np.zeros((len(x), 0), x.dtype)
-        out = np.full((self.leaves, len(x)), np.inf, np.float32)
-        z = np.ascontiguousarray(z.T)
-        for leaf, path in enumerate(self.paths):
-            for plane, sign in path:
-                np.minimum(out[leaf], z[plane] if sign > 0 else -z[plane], out=out[leaf])
-        return out.T
+        return self.sides.shape[1]
+
+    def chances(self, x: np.ndarray) -> np.ndarray:
+        """Logarithm of the chance that a neighbour of each row lies in each leaf, rows by leaves."""
+        if not len(self.planes):
+            return np.zeros((len(x), self.leaves), np.float32)
+        z = (x @ self.planes.T - self.offsets) * np.float32(LOGISTIC / self.config.spread)
+        np.clip(z, -60, 60, out=z)
+        right = -np.log1p(np.exp(-z))
+        return right @ (self.sides > 0).astype(np.float32) + (right - z) @ (self.sides < 0).astype(np.float32)
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home) of every visit; home marks the best leaf of each tree."""
-        rank = self.priorities(x)
-        visit = rank >= -self.config.reach
-        home = np.zeros_like(visit)
-        for tree in np.unique(self.tree_of_leaf):
+        """(row, leaf, home) of every visit; home tells whether the leaf is the vector's best of the tree."""
+        chance = self.chances(x)
+        home = np.zeros(chance.shape, bool)
+        for tree in range(int(self.tree_of_leaf.max()) + 1):
             own = np.flatnonzero(self.tree_of_leaf == tree)
-            home[np.arange(len(x)), own[np.argmax(rank[:, own], axis=1)]] = True
-        row, leaf = np.nonzero(visit | home)
+            home[np.arange(len(x)), own[np.argmax(chance[:, own], axis=1)]] = True
+        homes = np.flatnonzero(self.tree_of_leaf == 0)
+        rows = np.arange(len(x))
+        leaf = homes[np.argmax(chance[:, homes], axis=1)] if len(homes) > 1 else np.full(len(x), homes[0])
+        lacking = np.ones((len(x), int(self.tree_of_leaf.max()) + 1))
+        out = []
+        while len(rows):
+            out.append((rows, leaf))
+            lacking[rows, self.tree_of_leaf[leaf]] -= np.exp(chance[rows, leaf], dtype=np.float64)
+            chance[rows, leaf] = -np.inf
+            rows = rows[np.prod(np.maximum(lacking[rows], 0.0), axis=1) > self.config.miss]
+            left = chance[rows]
+            leaf = np.argmax(left, axis=1) if left.size else np.zeros(0, np.int64)
+            open_ = np.isfinite(left[np.arange(len(rows)), leaf]) if left.size else np.zeros(0, bool)
+            rows, leaf = rows[open_], leaf[open_]
+        row, leaf = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (rows, rows)
         return row, leaf, home[row, leaf]
 
-    def blocks(self) -> np.ndarray:
-        """Number of blocks of each leaf, from the rows expected in it."""
-        return np.maximum(1, np.ceil(self.expected_rows / self.config.leaf_cap)).astype(np.int64)
-
 
 def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
     """Fit the trees on a sample of unit vectors of a table of ``rows`` rows."""
@@ -98,39 +112,51 @@ def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
     scale = rows / max(1, len(sample))
     for tree in range(config.trees):
         rng = np.random.default_rng(config.seed + 1000 * tree)
-        stack = [(np.arange(len(sample)), [])]
+        stack: list[tuple[np.ndarray, list[tuple[int, int]]]] = [(np.arange(len(sample)), [])]
         while stack:
             members, path = stack.pop()
             cut = None
             if len(members) * scale > config.leaf_rows and len(members) >= config.min_sample and len(path) < config.max_depth:
-                cut = _best_cut(sample[members], rng, config)
+                cut = _best_cut(sample[members], rng, config, len(members) * scale > config.leaf_max)
             if cut is None:
                 paths.append(path)
                 trees.append(tree)
                 expected.append(len(members) * scale)
                 continue
             normal, offset = cut
-            z = sample[members] @ normal - offset
+            right = sample[members] @ normal >= offset
             plane = len(planes)
             planes.append(normal)
             offsets.append(offset)
-            stack.append((members[z >= -config.reach], [*path, (plane, 1)]))
-            stack.append((members[z <= config.reach], [*path, (plane, -1)]))
+            stack.append((members[right], [*path, (plane, 1)]))
+            stack.append((members[~right], [*path, (plane, -1)]))
     dim = sample.shape[1] if sample.ndim == 2 and sample.shape[1] else config.dim
-    return Forest(
+    sides = np.zeros((len(planes), len(paths)), np.int8)
+    for leaf, path in enumerate(paths):
+        for plane, side in path:
+            sides[plane, leaf] = side
+    forest = Forest(
         np.array(planes, np.float32).reshape(len(planes), dim),
         np.array(offsets, np.float32),
-        paths,
+        sides,
         np.array(trees),
         np.array(expected),
+        np.array(expected),
         config,
     )
+    visits = np.zeros(len(paths))
+    for at in range(0, len(sample), 4096):
+        visits += np.bincount(forest.route(sample[at : at + 4096])[1], minlength=len(paths))
+    forest.expected_visits = visits * scale
+    return forest
 
 
-def _best_cut(x: np.ndarray, rng: np.random.Generator, config: ForestConfig):
-    """The plane with the least expected work of the children, or None if none is worth it."""
-    best, found = config.gain, None
+def _best_cut(x: np.ndarray, rng: np.random.Generator, config: ForestConfig, always: bool):
+    """The plane with the least expected work of the children, or None if none is worth it.  With ``always`` any
+    plane is, if it puts a fifth of the rows on either side."""
+    best, found = np.inf if always else config.gain, None
     n = len(x)
+    reach = 1.5 * config.spread
     for _ in range(config.planes):
         part = x[rng.choice(n, min(n, 256), replace=False)]
         means = part[rng.choice(len(part), 2, replace=False)]
@@ -145,11 +171,13 @@ def _best_cut(x: np.ndarray, rng: np.random.Generator, config: ForestConfig):
             continue
         normal = (normal / length).astype(np.float32)
         z = np.sort(x @ normal)
-        at = np.linspace(z[0], z[-1], 66)[1:-1]
-        low, high = np.searchsorted(z, at - config.reach), np.searchsorted(z, at + config.reach)
-        left, right = high / n, 1 - low / n
-        work = left**2 + right**2 + config.copy_cost * (high - low) / n
+        at = np.r_[np.linspace(z[0], z[-1], 66)[1:-1], np.quantile(z, [0.3, 0.4, 0.5, 0.6, 0.7])].astype(np.float32)
+        below = np.searchsorted(z, at) / n
+        low, high = np.searchsorted(z, at - reach) / n, np.searchsorted(z, at + reach) / n
+        work = high**2 + (1 - low) ** 2 + config.copy_cost * (high - low)
+        if always:
+            work[(below < 0.2) | (below > 0.8)] = np.inf
         k = int(np.argmin(work))
         if work[k] < best:
-            best, found = work[k], (normal, np.float32(at[k]))
+            best, found = work[k], (normal, at[k])
     return found

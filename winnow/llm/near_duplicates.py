@@ -15,50 +15,50 @@ from winnow.llm.forest import ForestConfig
 from winnow.llm.kernels import BLOCK, SLACK, copies, exact
 from winnow.llm.packs import unit
 
-CONFIG = ForestConfig(reach=0.02, leaf_rows=8192)
+CONFIG = ForestConfig(trees=1, miss=0.02, leaf_rows=16_384, leaf_max=65_536)
+#: Directions that a run samples its tokens from.
+DIRECTIONS = 256
+#: Width of a cell, in standard deviations of the step between two vectors of the least similarity along a direction.
+WIDTH = 4.0
 
 
 def chosen_paths(
     x: np.ndarray,
-    side: np.ndarray | None,
     floor: float,
-    bucket: int = 192,
+    bucket: int = 384,
     recall: float = 0.99,
-    least: int = 6,
+    least: int = 3,
     most: int = 80,
     seed: int = 1,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, col, cosine) of the pairs of at least ``floor``, by a chosen-path join.
 
-    A record's tokens are the sides on which it lies of random hyperplanes.  A run starts with all
-    records in one set; every set of more than ``bucket`` records samples a hyperplane and is split by
-    that token at its median, so the next hyperplane only has to tell apart what is alike already.
-    Small sets are compared in full.  Copies take part as one record, and their pairs are added at the
-    end: every run would find them, so they say nothing about the others.
+    A record's tokens are the cells of its coordinates along random directions, each cut into cells at a random
+    place.  A run starts with all records in one set.  For every set of more than ``bucket`` records it
+    samples one or two directions, 1 / p on average, p being the chance that two records of the least similarity
+    share a token; a record follows every sampled token that it holds, so such a pair has one common
+    path on average.  Small sets are compared in full, and so are those that no direction parts any more.
+    Copies take part as one record, and their pairs are added at the end: every run would find them, so they say
+    nothing about the others.
 
     Runs are repeated until the pairs that no run has found yet are estimated at no more than a share of
-    ``1 - recall`` (:func:`_complete`).  Where ``most`` runs don't reach that, or as many comparisons as
-    all pairs would take, all pairs are compared.
+    ``1 - recall`` (:func:`_complete`).  Where ``most`` runs don't reach that, or as many comparisons as all pairs
+    take (a run costs about ``12 * bucket`` for each record), all pairs are compared: small sets at once.
     """
-    single = x.astype(np.float32)
-    first, own = copies(single)
-    kinds = None
-    if side is not None:  # the sides on which a class has members, as bits
-        kinds = np.zeros(len(first), np.int8)
-        np.bitwise_or.at(kinds, own, (1 + side).astype(np.int8))
+    first, own = copies(x.astype(np.float32))
     n = len(first)
-    ones = single[first]
+    ones = x[first].astype(np.float32)
     rng = np.random.default_rng(seed)
     codes = np.zeros(0, np.int64)
     times = np.zeros(0, np.int64)
     sims = np.zeros(0)
     runs = 0
     while not _complete(sims, times, runs, floor, recall, least):
-        if runs >= most or (runs + least) * bucket >= n // 2:
-            codes = _hits(ones, kinds, floor, np.arange(n))
+        if runs >= most or max(least, runs + 1) * 12 * bucket >= n // 2:
+            codes = _hits(ones, floor, np.arange(n))
             break
         runs += 1
-        hit = _run(ones, kinds, floor, bucket, rng)
+        hit = _run(ones, floor, bucket, rng)
         merged, at = np.unique(np.r_[codes, hit], return_inverse=True)
         count = np.zeros(len(merged), np.int64)
         count[at[: len(codes)]] = times
@@ -69,9 +69,6 @@ def chosen_paths(
         sim[new] = exact(x, x, first[merged[new] // n], first[merged[new] % n])
         codes, times, sims = merged, count, sim
     row, col = _members(codes // max(1, n), codes % max(1, n), own, n)
-    if side is not None:
-        ok = side[row] != side[col]
-        row, col = row[ok], col[ok]
     sim = exact(x, x, row, col)
     ok = sim >= floor
     return row[ok], col[ok], sim[ok]
@@ -113,65 +110,72 @@ def _members(row: np.ndarray, col: np.ndarray, own: np.ndarray, classes: int) ->
     return np.minimum(i, j), np.maximum(i, j)
 
 
-def _hits(x: np.ndarray, kinds: np.ndarray | None, floor: float, own: np.ndarray) -> np.ndarray:
+def _hits(x: np.ndarray, floor: float, own: np.ndarray) -> np.ndarray:
     """Codes row * n + col, row < col, of the candidates among the rows ``own``, in blocks."""
     found = [np.zeros(0, np.int64)]
-    step = max(1, min(4096, BLOCK // max(1, len(own))))
-    for at in range(0, len(own), step):
-        part, rest = own[at : at + step], own[at:]
-        i, j = np.nonzero(x[part] @ x[rest].T >= floor - SLACK)
-        later = j > i
-        i, j = part[i[later]], rest[j[later]]
-        if kinds is not None:
-            ok = (kinds[i] | kinds[j]) == 3
-            i, j = i[ok], j[ok]
-        found.append(np.minimum(i, j) * len(x) + np.maximum(i, j))
+    y = x[own]
+    tall, wide = 256, BLOCK // 256
+    for at in range(0, len(own), tall):
+        for over in range(at - at % wide, len(own), wide):
+            near = np.flatnonzero((y[at : at + tall] @ y[over : over + wide].T).ravel() >= floor - SLACK)
+            i, j = near // min(wide, len(own) - over) + at, near % min(wide, len(own) - over) + over
+            later = j > i
+            i, j = own[i[later]], own[j[later]]
+            found.append(np.minimum(i, j) * len(x) + np.maximum(i, j))
     return np.concatenate(found)
 
 
-def _run(x: np.ndarray, kinds: np.ndarray | None, floor: float, bucket: int, rng: np.random.Generator) -> np.ndarray:
-    """Codes row * n + col, row < col, of the candidates of one run."""
+def _run(x: np.ndarray, floor: float, bucket: int, rng: np.random.Generator) -> np.ndarray:
+    """Distinct codes row * n + col, row < col, of the candidates of one run."""
     n, dim = x.shape
-    open_ = np.arange(n)
-    group = np.zeros(n, np.int64)
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(open_):
-        _, group, size = np.unique(group, return_inverse=True, return_counts=True)
-        small = size[group] <= bucket
-        if small.any():
-            done.append((open_[small], group[small]))
-            open_, group = open_[~small], group[~small]
-            if not len(open_):
-                break
-            _, group, size = np.unique(group, return_inverse=True, return_counts=True)
-        planes = rng.standard_normal((len(size), dim), dtype=np.float32)
-        order = np.argsort(group, kind="stable")
-        open_, group = open_[order], group[order]
+    step = np.sqrt((2 - 2 * floor) / dim)
+    width = np.float32(WIDTH * max(step, 1e-4))
+    shared = 1 - np.sqrt(2 / np.pi) / WIDTH
+    directions = rng.standard_normal((DIRECTIONS, dim), dtype=np.float32)
+    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+    along = x @ directions.T / width
+    along -= along.min()
+    cells = int(along.max()) + 3
+    held, group = np.arange(n), np.zeros(n, np.int64)
+    stuck = np.zeros(1, np.int64)  # for each set, how many tokens in a row didn't part it
+    done: list[np.ndarray] = []
+    while len(held):
+        size = np.bincount(group)
         ends = np.cumsum(size)
-        z = np.empty(len(open_), np.float32)
-        right = np.empty(len(open_), bool)
-        stuck = np.zeros(len(size), bool)
-        for g, (end, count) in enumerate(zip(ends, size, strict=True)):
-            s = slice(end - count, end)
-            z[s] = x[open_[s]] @ planes[g]
-            middle = np.partition(z[s], count // 2)[count // 2]
-            right[s] = z[s] >= middle
-            if right[s].all():
-                right[s] = z[s] > middle
-                stuck[g] = not right[s].any()
-        if stuck.any():
-            held = stuck[group]
-            done.append((open_[held], group[held]))
-            open_, group, right = open_[~held], group[~held], right[~held]
-        group = 2 * group + right
+        ready = (size <= bucket) | (stuck >= 8)
+        done.extend(held[e - c : e] for e, c in zip(ends[ready].tolist(), size[ready].tolist(), strict=True) if c > 1)
+        open_ = ~ready[group]
+        held, group = held[open_], group[open_]
+        sets = len(size)
+        both = rng.random(sets) < 1 / shared - 1
+        nexts = []
+        for turn in range(2):
+            d, shift = rng.integers(0, DIRECTIONS, sets), rng.random(sets, dtype=np.float32)
+            part = slice(None) if turn == 0 else both[group]
+            h, g = held[part], group[part]
+            nexts.append((h, (g * 2 + turn) * cells + (along[h, d[g]] + shift[g]).astype(np.int64)))
+        h, key = (np.concatenate(c) for c in zip(*nexts, strict=True))
+        order = np.argsort(key, kind="stable")
+        h, key = h[order], key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        child = np.cumsum(new) - 1
+        parent = key[new] // (2 * cells)
+        own = np.bincount(child, minlength=len(parent))
+        whole = own >= 0.95 * size[parent]
+        stuck = np.where(whole, stuck[parent] + 1, 0)
+        keep = ~(whole & (key[new] // cells % 2 == 1))  # a second token that parts nothing would only double the set
+        at = np.cumsum(keep) - 1
+        held, group, stuck = h[keep[child]], at[child[keep[child]]], stuck[keep]
     found = [np.zeros(0, np.int64)]
-    for rows, groups in done:
-        order = np.argsort(groups, kind="stable")
-        rows = rows[order]
-        bounds = np.r_[0, np.flatnonzero(np.diff(groups[order])) + 1, len(rows)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            found.append(_hits(x, kinds, floor, rows[a:b]))
-    return np.concatenate(found)
+    for rows in done:
+        if len(rows) > bucket:
+            found.append(_hits(x, floor, rows))
+            continue
+        y = x[rows]
+        near = np.flatnonzero((y @ y.T).ravel() >= floor - SLACK)
+        i, j = rows[near // len(rows)], rows[near % len(rows)]
+        found.append(i[i < j] * n + j[i < j])
+    return np.unique(np.concatenate(found))
 
 
 def near_pairs(
@@ -184,23 +188,21 @@ def near_pairs(
 ) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b, of the vectors whose cosine is at least ``floor``.
 
-    The first token of a record's path is its leaf of one random-projection tree, which decides the
-    task; the rest of the path is taken within the task (:func:`chosen_paths`), where the vectors are at
-    hand, so repeated runs move nothing.  Two vectors of cosine ``floor`` are 2 * reach apart, with reach =
-    sqrt((1 - floor) / 2).  If every vector within reach of a plane goes to both sides, such a pair is
-    together on one side of every plane, so it shares a leaf whatever the number of planes.  A smaller
-    reach of ``config`` is widened to that.
+    A record's first token decides the task: its leaf of a random-projection tree.  A record near a plane holds the
+    tokens of both sides and follows them all, until the chance that a vector of cosine ``floor`` holds none
+    of them is at most ``config.miss`` (:mod:`winnow.llm.forest`).  The rest of the path is taken within the
+    task (:func:`chosen_paths`), where the vectors are at hand, so repeated runs move nothing.
 
     Defined cases: as for :func:`winnow.llm.neighbours.most_similar`; copies are pairs.
     """
-    whole = float(np.sqrt((1 - floor) / 2)) + SLACK
-    forest = fitted(df, replace(config, reach=max(config.reach, whole)), ids, vectors)
+    step = float(np.sqrt(max(0.0, 2 - 2 * floor) / config.dim))
+    index = fitted(df, replace(config, spread=max(step, 1e-3)), ids, vectors, first=0)
 
-    def work(i: np.ndarray, x: np.ndarray, side: np.ndarray | None) -> pa.Table:
-        row, col, sim = chosen_paths(unit(x), side, floor, recall=recall)
+    def work(i: np.ndarray, x: np.ndarray, home: np.ndarray) -> pa.Table:
+        row, col, sim = chosen_paths(unit(x), floor, recall=recall)
         return pa.table({"id_a": i[row], "id_b": i[col], "similarity": sim})
 
-    pairs = compared(df, forest, work, "id_a long, id_b long, similarity double", ids, vectors)
+    pairs = compared(df, index, work, "id_a long, id_b long, similarity double", ids, vectors)
     return pairs.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
