@@ -80,7 +80,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     common = spark.read.parquet(f"{folder}/common_words.parquet")
     stats = cut(text_quality.statistics(documents, common))
-    return text_quality.lower_tail(stats, "prose_words", 0.5).select("doc_id")
+    return text_quality.lower_tail(stats, "prose_words").select("doc_id")
 
 
 def queries() -> dict[str, Query]:

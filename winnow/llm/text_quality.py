@@ -246,13 +246,51 @@ def standing(stats: DataFrame, by: DataFrame | None = None) -> DataFrame:
     return both.select(*out)
 
 
-def lower_tail(stats: DataFrame, statistic: str, cut: float, by: DataFrame | None = None) -> DataFrame:
-    """The documents in the lower tail of a statistic: their percentile in their language is at most that
-    of ``cut``, by the sketches.  As a grid of percentiles is coarse, the value itself is then held
-    against ``cut``.  Documents without a value are in no tail."""
-    by = quantiles(sketches(stats.select("language", *STATISTICS)) if by is None else by, [statistic])
-    grid, value = F.col(f"grid_{statistic}"), F.col(statistic).cast("double")
-    tails = by.select("language", grid, _percentile(F.lit(float(cut)), grid).alias("tail"))
-    both = stats.where(value.isNotNull()).join(F.broadcast(tails), "language")
-    inside = both.where(_percentile(value, grid) <= F.col("tail"))
-    return inside.where(value < cut).select(*stats.columns)
+#: Share of a statistic's variance that lies between its two modes if it has two.
+TWO_MODES = 0.75
+
+
+def valley(quantiles_: list[float]) -> tuple[float, float]:
+    """(cut, share): the value that parts the quantiles of a distribution into the two groups that differ most, and
+    the share of the variance between them.  Points of a value that occurs often stay together."""
+    q = np.asarray(quantiles_, float)
+    total = q.var() * len(q)
+    steps = np.flatnonzero(q[1:] > q[:-1]) + 1
+    if not len(steps) or total <= 0:
+        return float("-inf"), 0.0
+    sums = np.cumsum(q)
+    below, above = sums[steps - 1] / steps, (sums[-1] - sums[steps - 1]) / (len(q) - steps)
+    between = steps * (len(q) - steps) / len(q) * (below - above) ** 2
+    best = steps[int(np.argmax(between))]
+    return float((q[best - 1] + q[best]) / 2), float(between.max() / total)
+
+
+def tail_cuts(by: DataFrame, statistic: str) -> dict[str, float]:
+    """The value below which each language's documents are its lower tail, from the sketches.
+
+    Where a language's sketch has two modes, the cut is the valley between them.  Where it has one (few documents, or
+    all of one kind), it is the valley of the merged sketches of all languages; without two modes there,
+    nothing is a tail.  There is one row for each language of the table of common words.
+    """
+    name = f"sketch_{statistic}"
+    grid = F.array(*map(F.lit, GRID))
+    whole = by.agg(F.kll_merge_agg_double(name).alias(name)).select(F.lit(None).cast("string").alias("language"), name)
+    both = by.select("language", name).unionAll(whole)
+    known = both.where(F.kll_sketch_get_n_double(name) > 0)
+    rows = known.select("language", F.kll_sketch_get_quantile_double(name, grid).alias("grid")).collect()
+    cuts = {r["language"]: valley(r["grid"]) for r in rows}
+    pooled = cuts.pop(None, (float("-inf"), 0.0))
+    pooled_cut = pooled[0] if pooled[1] >= TWO_MODES else float("-inf")
+    return {lang: cut if share >= TWO_MODES else pooled_cut for lang, (cut, share) in cuts.items()}
+
+
+def lower_tail(stats: DataFrame, statistic: str, by: DataFrame | None = None) -> DataFrame:
+    """The documents in the lower tail of a statistic in their language: those below the cut that the distribution
+    of the statistic gives (:func:`tail_cuts`), with it as column ``tail_cut``.  Documents without a value are in
+    no tail."""
+    cuts = tail_cuts(sketches(stats.select("language", *STATISTICS)) if by is None else by, statistic)
+    if not cuts:
+        return stats.withColumn("tail_cut", F.lit(None).cast("double")).where(F.lit(False))
+    table = F.create_map(*(F.lit(v) for pair in sorted(cuts.items()) for v in pair))
+    both = stats.withColumn("tail_cut", F.element_at(table, F.col("language")))
+    return both.where(F.col(statistic).cast("double") < F.col("tail_cut"))
