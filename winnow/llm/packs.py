@@ -106,8 +106,9 @@ def packed(task: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
 
 def regroup(df: DataFrame, tasks: int, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Run ``work`` on the packs of each task.  The partitions are set here, as adaptive execution
-    would join partitions of few bytes, and these hold few bytes for much work."""
-    parts = max(8, min(2 * tasks, 2000))
+    would join partitions of few bytes, and these hold few bytes for much work; some tasks share one, as each
+    costs a start of Python's worker."""
+    parts = max(1, min(tasks, max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-tasks // 4))))
     return df.repartition(parts, "task").groupBy("task").applyInArrow(work, schema)
 
 
