@@ -100,9 +100,23 @@ def test_statistics(spark):
     assert (out[5].word_count, out[5].symbol_ratio, out[5].prose_words, out[5].language) == (0, 1.0, 0.0, "other")
     ranked = {r.doc_id: r for r in text_quality.standing(stats).collect()}
     assert ranked[6].rank_word_count > ranked[1].rank_word_count and ranked[2].rank_prose_words is None
-    assert {r.doc_id for r in text_quality.lower_tail(stats, "prose_words", 0.5).collect()} == {5}
+    assert {r.doc_id for r in text_quality.lower_tail(stats, "prose_words").collect()} == {5}
     none = text_quality.statistics(df.limit(0), common)
-    assert none.count() == text_quality.lower_tail(none, "prose_words", 0.5).count() == 0
+    assert none.count() == text_quality.lower_tail(none, "prose_words").count() == 0
+
+
+def test_cut_in_the_valley(spark):
+    """The sketches decide: a language's own valley, that of all languages where it has one mode, none without."""
+    rows = [("en", 0.1 + 0.001 * k) for k in range(60)] + [("en", 0.8 + 0.001 * k) for k in range(140)]
+    rows += [("de", 0.30 + 0.0001 * k) for k in range(50)] + [("de", 0.62 + 0.0001 * k) for k in range(50)] + [("fr", 0.85 + 0.001 * k) for k in range(40)]
+    columns = [f"CAST(v AS double) AS {s}" for s in text_quality.STATISTICS[1:]]
+    stats = spark.createDataFrame(rows, "language string, v double").selectExpr("language", "v", "CAST(v * 100 AS long) AS word_count", *columns)
+    cuts = text_quality.tail_cuts(text_quality.sketches(stats), "prose_words")
+    assert 0.16 < cuts["en"] < 0.8 and 0.305 < cuts["de"] < 0.62 and 0.16 < cuts["fr"] < 0.85
+    flagged = text_quality.lower_tail(stats, "prose_words").groupBy("language").count().collect()
+    assert {r["language"]: r["count"] for r in flagged} == {"en": 60, "de": 50}
+    only = stats.where("language = 'fr'")
+    assert text_quality.lower_tail(only, "prose_words").count() == 0
 
 
 def test_found_by_labels(spark):
@@ -113,7 +127,7 @@ def test_found_by_labels(spark):
     from pyspark.sql import functions as F
 
     stats = text_quality.statistics(spark.read.parquet(str(folder / "documents.parquet")), spark.read.parquet(str(folder / "common_words.parquet"))).where("prose_words is not null")
-    flagged = {r.doc_id for r in text_quality.lower_tail(stats, "prose_words", 0.5).collect()}
+    flagged = {r.doc_id for r in text_quality.lower_tail(stats, "prose_words").collect()}
     labels = spark.read.parquet(str(folder / "doc_labels.parquet")).where("label is not null").join(stats.select("doc_id"), "doc_id")
     agreed = labels.groupBy("doc_id").agg(F.collect_set(F.lower("label")).alias("l"), F.count("*").alias("n")).where("n > 1 AND size(l) = 1").collect()
     wrong = [r.doc_id for r in agreed if (r.l[0] == "prose") == (r.doc_id in flagged)]

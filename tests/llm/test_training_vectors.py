@@ -1,6 +1,7 @@
 """Vector operators against brute force, with what may be wrong in the rows."""
 
 import inspect
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,7 +9,9 @@ import pytest
 from winnow.llm import clusters, kernels, near_duplicates, neighbours, varied
 from winnow.llm.components import components
 from winnow.llm.forest import ForestConfig, fit_forest
+from winnow.llm.hierarchy import condensed, topmost
 from winnow.llm.packs import mix, pack, unpack
+from winnow.llm.spanning import SCALE, minimum_forest
 
 DIM = 64
 SCHEMA = "id long, embedding array<float>, rank string, side int"
@@ -46,7 +49,7 @@ def _cosines(x):
     return s
 
 
-SMALL = [ForestConfig(reach=0.08, leaf_rows=60, min_sample=10), ForestConfig(reach=0.08, leaf_rows=60, min_sample=10, leaf_cap=40, trees=2)]
+SMALL = [ForestConfig(leaf_rows=60, leaf_max=120, min_sample=10, miss=0.01), ForestConfig(trees=1, leaf_rows=40, leaf_max=40, min_sample=10, miss=0.01), ForestConfig(trees=3, leaf_rows=60, leaf_max=90, min_sample=10, miss=0.005)]
 
 
 @pytest.mark.parametrize("config", SMALL)
@@ -71,8 +74,8 @@ def test_leaves_hold_dissimilar_neighbours():
     groups = np.vstack([c + 0.04 * rng.normal(size=(100, DIM)) for c in (_unit(rng) for _ in range(40))])
     x = np.vstack([groups, rng.normal(size=(300, DIM))])
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-    reach = inspect.signature(neighbours.most_similar).parameters["config"].default.reach
-    forest = fit_forest(x, len(x), ForestConfig(reach=reach, leaf_rows=400))
+    used = inspect.signature(neighbours.most_similar).parameters["config"].default
+    forest = fit_forest(x, len(x), replace(used, leaf_rows=400, leaf_max=800))
     row, leaf, _ = forest.route(x)
     at = np.zeros((len(x), forest.leaves), bool)
     at[row, leaf] = True
@@ -110,7 +113,7 @@ def test_near_pairs_on_both_sides_of_planes(spark):
     x[:, :3] = rng.normal(size=(1500, 3))
     s = _cosines(x)
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.98), strict=True) if i < j}
-    config = ForestConfig(reach=0.02, leaf_rows=60, min_sample=10)
+    config = ForestConfig(trees=1, miss=0.02, leaf_rows=60, leaf_max=200, min_sample=10)
     got = {(r.id_a, r.id_b) for r in near_duplicates.near_pairs(_table(spark, np.arange(1500), x), config=config).collect()}
     assert got <= want and len(got) >= 0.99 * len(want)
 
@@ -118,21 +121,17 @@ def test_near_pairs_on_both_sides_of_planes(spark):
 def test_chosen_paths_with_many_copies():
     rng = np.random.default_rng(0)
     x = np.vstack([np.tile(_unit(rng), (300, 1)), [_unit(rng) for _ in range(300)]])
-    row, col, _ = near_duplicates.chosen_paths(x, None, 0.98, bucket=50)
+    row, col, _ = near_duplicates.chosen_paths(x, 0.98, bucket=50)
     assert len(row) == 300 * 299 // 2 and (row < col).all()
 
 
-@pytest.mark.parametrize("divided", [False, True])
-def test_chosen_paths_find_near_vectors_beside_copies(divided):
+def test_chosen_paths_find_near_vectors_beside_copies():
     rng = np.random.default_rng(0)
     ball = _unit(rng) + 0.018 * rng.normal(size=(6000, DIM))
     x = np.vstack([np.tile(_unit(rng), (1500, 1)), ball, ball[:2]])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    side = (np.arange(len(x)) % 2).astype(np.int8) if divided else None
-    row, col, sim = near_duplicates.chosen_paths(x, side, 0.985, bucket=50)
+    row, col, sim = near_duplicates.chosen_paths(x, 0.985, bucket=50)
     s = np.triu(x @ x.T >= 0.985, 1)
-    if divided:
-        s &= side[:, None] != side[None, :]
     near = s.copy()
     near[:1500, :1500] = False
     assert s[row, col].all() and (row < col).all() and len(np.unique(row * len(x) + col)) == len(row)
@@ -140,6 +139,21 @@ def test_chosen_paths_find_near_vectors_beside_copies(divided):
     assert near.sum() > 1000 and near[row, col].sum() >= 0.99 * near.sum()
 
 
+def test_repeated_runs_alone_reach_the_recall():
+    """What runs of split sets find, without comparing all."""
+    rng = np.random.default_rng(0)
+    ball = _unit(rng) + 0.05 * rng.normal(size=(6000, DIM))
+    x = np.vstack([ball, ball[:900] + 0.008 * rng.normal(size=(900, DIM))])
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    want = set(zip(*(v.tolist() for v in np.nonzero(np.triu(x @ x.T >= 0.98, 1))), strict=True))
+    found, sizes = set(), []
+    for seed in range(8):
+        codes = near_duplicates._run(x, 0.98, 96, np.random.default_rng(seed))
+        found |= {(int(c) // len(x), int(c) % len(x)) for c in codes}
+        sizes.append(len(found & want))
+    assert len(want) > 700 and sizes[0] < sizes[-1] and sizes[-1] >= 0.99 * len(want)
+
+
 def test_contradictions(spark):
     pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (1, 4, 1.0), (1, 5, 1.0), (1, 6, 1.0), (1, 7, 1.0), (1, 99, 1.0)], "id_a long, id_b long, similarity double")
     records = spark.createDataFrame(
@@ -151,14 +165,19 @@ def test_contradictions(spark):
     assert {(r.id, r.group_id, r.links) for r in near_duplicates.groups(got).collect()} == {(1, 1, 5)} | {(k, 1, 1) for k in (2, 5, 6, 7, 99)}
 
 
-def test_cores_of_a_divided_leaf(spark):
+def test_cores_over_all_tasks(spark):
+    """Cores count the neighbours of all leaves, also where a leaf is several tasks."""
     ids, x = _groups(3, sizes=(150, 60), lone=20)
-    config = ForestConfig(reach=0.5, leaf_rows=10_000, leaf_cap=40)
-    want = 1 - np.sort(_cosines(x), axis=1)[:, -5]
-    cores = clusters.reachability_forest(_table(spark, ids, x), 5, 0.5, config)[1].collect()
-    got = {r.id: r.core for r in cores}
-    assert len(cores) == len(ids)
-    assert np.allclose([got[int(i)] for i in ids], want, atol=1e-9)
+    s = _cosines(x)
+    core = 1 - np.sort(s, axis=1)[:, -5]
+    core[np.sort(s, axis=1)[:, -5] < 0.5] = 0.5
+    at = {int(i): k for k, i in enumerate(ids)}
+    config = ForestConfig(leaf_rows=20, leaf_max=20, min_sample=10, miss=0.0)
+    edges = clusters.reachability_graph(_table(spark, ids, x), 5, 0.5, config).collect()
+    assert len(edges) > 5 * 200
+    for r in edges:
+        a, b = at[r.a], at[r.b]
+        assert abs(r.w / SCALE - max(1 - s[a, b], core[a], core[b])) < 1e-6
 
 
 def _forest_weight(edges):
@@ -186,15 +205,90 @@ def test_forest_spans_groups_that_planes_part(spark):
     core = 1 - np.sort(s, axis=1)[:, -5]
     d = np.maximum(np.maximum(1 - s, core[:, None]), core[None, :])
     want = _forest_weight((d[i, j], i, j) for i, j in zip(*np.nonzero(s >= 0.5), strict=True) if i < j)
-    config = ForestConfig(reach=0.04, leaf_rows=60, min_sample=10)
-    edges = clusters.reachability_forest(_table(spark, np.arange(480), x, dirty=False), 5, 0.5, config)[0].collect()
-    got = _forest_weight((r.distance, r.a, r.b) for r in edges)
-    assert want[0] == 479 and got[0] == want[0] and abs(got[1] - want[1]) < 1e-6
+    config = ForestConfig(leaf_rows=60, leaf_max=120, min_sample=10, miss=0.0)
+    edges = clusters.reachability_graph(_table(spark, np.arange(480), x, dirty=False), 5, 0.5, config)
+    forest, roots = minimum_forest(edges)
+    got = _forest_weight((r.w / SCALE, r.a, r.b) for r in forest.collect())
+    assert forest.count() == want[0] == 479 and got[0] == want[0] and abs(got[1] - want[1]) < 1e-5
+    assert {(r.id, r.root) for r in roots.collect()} == {(k, 0) for k in range(480)}
+
+
+def _hierarchy(edges, n, least, far):
+    """Condensed hierarchy of a spanning forest by the definition: cuts at every distance, from the top.
+
+    Gives the members of the selected clusters, as sets of points, by recursion over thresholds.
+    """
+    levels = sorted({w for _, _, w in edges if w <= far}, reverse=True)
+
+    def parts(points, below):
+        root = {p: p for p in points}
+
+        def top(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for a, b, w in edges:
+            if w < below and a in root and b in root:
+                root[top(a)] = top(b)
+        out = {}
+        for p in points:
+            out.setdefault(top(p), set()).add(p)
+        return list(out.values())
+
+    def grown(points, birth):
+        """(stability, members) of the best selection within a cluster that begins at density ``birth``."""
+        now, stable = set(points), 0.0
+        for w in levels:
+            pieces = [p for p in parts(now, w)]
+            if len(pieces) == 1:
+                continue
+            large = [p for p in pieces if len(p) >= least]
+            left = sum(len(p) for p in pieces if len(p) < least)
+            stable += left * (SCALE / w - birth)
+            if len(large) > 1 or not large:
+                stable += sum(map(len, large)) * (SCALE / w - birth)
+                below = [grown(p, SCALE / w) for p in large]
+                worth = sum(b[0] for b in below)
+                if below and worth > stable:
+                    return worth, [m for b in below for m in b[1]]
+                return stable, [frozenset(points)]
+            now = large[0]
+        return stable, [frozenset(points)]
+
+    out = []
+    for p in parts(set(range(n)), far + 1):
+        if len(p) >= least:
+            out += grown(p, SCALE / far)[1]
+    return set(out)
+
+
+@pytest.mark.parametrize("task_edges", [10_000, 40])
+def test_hierarchy_by_the_definition(spark, task_edges):
+    """All merges, in one task for each tree and in bands of distances, against cuts at every distance."""
+    rng = np.random.default_rng(4)
+    tree = [(0, 0, 0)]
+    while len(tree) < 241:  # a random tree of 200 vertices with groups, and one of 40
+        k = len(tree)
+        other = int(rng.integers(max(0, k - 25), k)) if k != 200 else -1
+        w = int(rng.integers(1, 1000) ** 2) + 1 if k % 25 else int(rng.integers(900_000, 1_500_000))
+        tree.append((other, k, w * 10 + k % 7))
+    edges = [(a, b, w * 64) for a, b, w in tree[1:] if a >= 0]
+    far = 1_200_000 * 640
+    kept = [e for e in edges if e[2] <= far]
+    forest, roots = minimum_forest(spark.createDataFrame(kept, "a long, b long, w long"))
+    joins, ends = condensed(forest, roots, 5, far, task_edges)
+    taken = joins.join(topmost(ends), "cluster").collect()
+    got = {}
+    for r in taken:
+        got.setdefault(r.taken, set()).add(r.id)
+    assert len({r.id for r in taken}) == len(taken)
+    assert {frozenset(v) for v in got.values()} == _hierarchy(kept, 241, 5, far)
 
 
 def test_density_clusters(spark):
     ids, x = _groups(3, sizes=(120, 60, 30), lone=20)
-    out = clusters.density_clusters(_table(spark, ids, x), least=8, neighbours=3, floor=0.5, levels=4).collect()
+    out = clusters.density_clusters(_table(spark, ids, x), least=8, neighbours=3, floor=0.5).collect()
     of = {r.id: r.cluster_id for r in out}
     blobs = [{of.get(int(i)) for i in part} - {None} for part in (ids[:120], ids[120:180], ids[180:210])]
     assert len(set.union(*blobs)) == sum(map(len, blobs))  # no cluster spans two groups
@@ -255,11 +349,43 @@ def test_varied_subset(spark):
 
 
 def test_smallest_by_percentiles(spark):
-    keyed = spark.range(5000).selectExpr("id", "double((id * 7919) % 5000) AS key")
-    got = varied._smallest(keyed, 1234, 5000, exact=100)
-    assert sorted(r.key for r in got.collect()) == list(range(1234))
-    equal = spark.range(1000).selectExpr("id", "1.0D AS key")
-    assert sorted(r.id for r in varied._smallest(equal, 300, 1000, exact=100).collect()) == list(range(300))
+    from pyspark.sql import functions as F
+
+    keyed = spark.range(5000).selectExpr("id", "1.0D AS weight", "double((id * 7919) % 5000) AS key", "1.0D AS same")
+    wanted = [(1, 0, 1234), (2, 3, 300), (3, 0, 4999)]
+    got = varied._smallest(keyed, wanted, [F.col("key"), F.col("same"), F.col("key")], 5000, exact=100).collect()
+    key = {k: (k * 7919) % 5000 for k in range(5000)}
+    assert sorted(key[r.id] for r in got if r.request_id == 1) == list(range(1234))
+    assert sorted(r.id for r in got if r.request_id == 2 and r.replica == 3) == list(range(300))
+    assert sorted(key[r.id] for r in got if r.request_id == 3) == list(range(4999))
+
+
+def test_densities_do_not_depend_on_unrelated_rows(spark):
+    ids, x = _groups(5, sizes=(300,), lone=300)
+    rows = [(r.id, r.density) for r in varied.densities(_table(spark, ids, x)).collect()]
+    got = dict(rows)
+    assert len(got) == len(rows) == len(ids)
+    assert np.mean([got[int(i)] for i in ids[300:]]) < 1.2  # a lone vector meets nothing
+    assert np.mean([got[int(i)] for i in ids[:300]]) > 3
+
+
+def test_heavy_copies_are_not_moved(spark):
+    """A vector that most rows are copies of: lists, links and edges of the copies follow from a few of them."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([np.tile(_unit(rng), (400, 1)), [_unit(rng) for _ in range(60)]]).astype(np.float32)
+    order = rng.permutation(len(x))
+    ids, x = np.arange(len(x)) * 3 + 1, x[order]
+    config = ForestConfig(leaf_rows=60, leaf_max=100, min_sample=10)
+    table = _table(spark, ids, x)
+    copies = ids[order < 400]
+    out = neighbours.most_similar(table, 5, 0.5, config).collect()
+    for i in copies:
+        near = [r.neighbor_id for r in sorted((r for r in out if r.id == i), key=lambda r: r.rank)]
+        assert near == [int(c) for c in copies[:6] if c != i][:5]
+    linked = {r.id: r.cluster_id for r in clusters.linked(table, 0.9, config).collect()}
+    assert {linked[int(i)] for i in copies} == {int(copies[0])} and len(linked) == len(ids)
+    members = clusters.density_clusters(table, least=8, neighbours=3, floor=0.5, config=config).collect()
+    assert {r.id for r in members} == set(map(int, copies)) and {r.size for r in members} == {400}
 
 
 def test_rows_with_many_copies():
@@ -269,12 +395,13 @@ def test_rows_with_many_copies():
     order = rng.permutation(len(x))
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)[order]
     x /= np.linalg.norm(x, axis=1)[:, None]
-    for side in (None, (np.arange(len(x)) % 2).astype(np.int8)):
-        row, col, micro = kernels.top_rows(x, side, 5, 0.5, rounded=True)
+    first = kernels.copies(x.astype(np.float32))
+    for home in (None, (first[1] % 2) > 0):
+        row, col, micro = kernels.top_rows(x, home, 5, 0.5, 1_000_000)
         s = np.rint(x @ x.T * 1e6)
         np.fill_diagonal(s, -2)
-        if side is not None:
-            s[side[:, None] == side[None, :]] = -2
+        if home is not None:
+            s[(~home[:, None] & ~home[None, :]) & (first[1][:, None] != first[1][None, :])] = -2
         for i in (*rng.choice(len(x), 60), *np.flatnonzero(np.isin(order, [4000, 4050, 4051, 4052, 4053]))):
             want = [j for j in np.lexsort((np.arange(len(x)), -s[i]))[:5] if s[i, j] >= 5e5]
             assert sorted(col[row == i]) == sorted(want)

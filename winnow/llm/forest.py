@@ -8,8 +8,9 @@ such planes the one that promises the least work is taken.
 
 The queue of a vector holds the leaves of all trees.  A leaf's priority is the chance that a
 neighbour lies in it: over the planes of its path, the product of the chances that a neighbour lies
-on the leaf's side.  That follows from the vector's distance to the plane and ``spread``, the standard
-deviation of the step to a neighbour along any one direction.  Leaves are popped, the home in the first tree
+on the leaf's side.  That follows from the vector's distance to the plane and the standard deviation of the
+step to a neighbour along any one direction: ``step`` over the root of the number of dimensions that steps take,
+which is estimated from the sample (:func:`dimensions`).  Leaves are popped, the home in the first tree
 first, until the chance that the popped leaves of all trees lack a neighbour is at most ``miss``.
 There is no limit on the number of leaves; a vector far from all planes visits one.
 
@@ -33,12 +34,13 @@ LOGISTIC = 1.702
 class ForestConfig:
     """Parameters of the forest.
 
-    ``sample_rows`` bounds what the driver sees.
+    ``sample_rows`` bounds what the driver sees.  ``step`` is the distance of two unit vectors that are to be
+    neighbours, 0.4 at a cosine of 0.92.
     """
 
     dim: int = 64
     trees: int = 2
-    spread: float = 0.05
+    step: float = 0.4
     miss: float = 0.1
     sample_rows: int = 20_000
     leaf_rows: int = 4_096
@@ -61,6 +63,7 @@ class Forest:
     tree_of_leaf: np.ndarray
     expected_rows: np.ndarray
     expected_visits: np.ndarray
+    spread: float
     config: ForestConfig = field(default_factory=ForestConfig)
 
     @property
@@ -71,7 +74,7 @@ class Forest:
         """Logarithm of the chance that a neighbour of each row lies in each leaf, rows by leaves."""
         if not len(self.planes):
             return np.zeros((len(x), self.leaves), np.float32)
-        z = (x @ self.planes.T - self.offsets) * np.float32(LOGISTIC / self.config.spread)
+        z = (x @ self.planes.T - self.offsets) * np.float32(LOGISTIC / self.spread)
         np.clip(z, -60, 60, out=z)
         right = -np.log1p(np.exp(-z))
         return right @ (self.sides > 0).astype(np.float32) + (right - z) @ (self.sides < 0).astype(np.float32)
@@ -110,6 +113,7 @@ def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
     trees: list[int] = []
     expected: list[float] = []
     scale = rows / max(1, len(sample))
+    spread = max(1e-6, config.step / np.sqrt(dimensions(sample)))
     for tree in range(config.trees):
         rng = np.random.default_rng(config.seed + 1000 * tree)
         stack: list[tuple[np.ndarray, list[tuple[int, int]]]] = [(np.arange(len(sample)), [])]
@@ -117,7 +121,7 @@ def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
             members, path = stack.pop()
             cut = None
             if len(members) * scale > config.leaf_rows and len(members) >= config.min_sample and len(path) < config.max_depth:
-                cut = _best_cut(sample[members], rng, config, len(members) * scale > config.leaf_max)
+                cut = _best_cut(sample[members], rng, config, spread, len(members) * scale > config.leaf_max)
             if cut is None:
                 paths.append(path)
                 trees.append(tree)
@@ -142,6 +146,7 @@ def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
         np.array(trees),
         np.array(expected),
         np.array(expected),
+        spread,
         config,
     )
     visits = np.zeros(len(paths))
@@ -151,12 +156,30 @@ def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
     return forest
 
 
-def _best_cut(x: np.ndarray, rng: np.random.Generator, config: ForestConfig, always: bool):
+def dimensions(sample: np.ndarray, most: int = 1_000) -> float:
+    """The number of dimensions that the steps to nearest neighbours take in a sample of unit vectors, by the
+    participation ratio of their covariance; copies take none."""
+    if len(sample) < 2:
+        return float(max(1, sample.shape[1] if sample.ndim == 2 else 1))
+    few = sample[:: max(1, len(sample) // most)]
+    s = few @ sample.T
+    s[s > 1 - 1e-6] = -2.0  # itself and copies
+    step = sample[np.argmax(s, axis=1)] - few
+    step = step[s.max(axis=1) > -2.0].astype(np.float64)
+    length = np.sqrt((step**2).sum(axis=1))
+    step = step[length > 0] / length[length > 0, None]
+    if not len(step):
+        return float(sample.shape[1])
+    values = np.linalg.eigvalsh(step.T @ step / len(step))
+    return float(max(1.0, values.sum() ** 2 / (values**2).sum()))
+
+
+def _best_cut(x: np.ndarray, rng: np.random.Generator, config: ForestConfig, spread: float, always: bool):
     """The plane with the least expected work of the children, or None if none is worth it.  With ``always`` any
     plane is, if it puts a fifth of the rows on either side."""
     best, found = np.inf if always else config.gain, None
     n = len(x)
-    reach = 1.5 * config.spread
+    reach = 1.5 * spread
     for _ in range(config.planes):
         part = x[rng.choice(n, min(n, 256), replace=False)]
         means = part[rng.choice(len(part), 2, replace=False)]

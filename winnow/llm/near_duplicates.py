@@ -195,8 +195,8 @@ def near_pairs(
 
     Defined cases: as for :func:`winnow.llm.neighbours.most_similar`; copies are pairs.
     """
-    step = float(np.sqrt(max(0.0, 2 - 2 * floor) / config.dim))
-    index = fitted(df, replace(config, spread=max(step, 1e-3)), ids, vectors, first=0)
+    step = float(np.sqrt(max(0.0, 2 - 2 * floor)))
+    index = fitted(df, replace(config, step=max(step, 1e-3)), ids, vectors, first=0)
 
     def work(i: np.ndarray, x: np.ndarray, home: np.ndarray) -> pa.Table:
         row, col, sim = chosen_paths(unit(x), floor, recall=recall)

@@ -12,10 +12,10 @@ from winnow.llm.forest import ForestConfig
 from winnow.llm.kernels import neighbours, ranked
 from winnow.llm.packs import mix, packed, regroup, unit, unpack_all
 
-#: For neighbours of at least about 0.82, and for neighbours of any similarity, which may be farther away: the step to
-#: one of cosine 0.5 is 1 / 8 along a direction.  Recall against trees, leaf size and similarity is in the README.
-ALIKE = ForestConfig(spread=0.05)
-ANY = ForestConfig(spread=0.125)
+#: For neighbours of at least about 0.82, and for neighbours of any similarity, which may be farther away: 1.0 is the
+#: distance at a cosine of 0.5.  Recall against trees, leaf size and similarity is in the README.
+ALIKE = ForestConfig(step=0.4)
+ANY = ForestConfig(step=1.0, miss=0.03)
 #: Ids of one task that merges the lists of several leaves.
 MERGE_IDS = 50_000
 LISTS = [(np.int64, 0), (np.int64, 0), (np.int32, 0)]

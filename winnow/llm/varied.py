@@ -116,7 +116,7 @@ def varied_subset(
         if whole:
             turns = F.array(*(F.struct(F.lit(r).cast("int").alias("request_id"), F.lit(n).alias("turns")) for r, n in whole))
             each = weighted.select("id", "weight", F.explode(turns).alias("x"))
-            replica = F.explode(F.sequence(F.lit(0), F.col("x.turns") - 1)).cast("int").alias("replica")
+            replica = F.explode(F.sequence(F.lit(0), (F.col("x.turns") - 1).cast("int"))).alias("replica")
             out = out.unionAll(each.select("x.request_id", "id", replica, "weight"))
         rest = [(request, size // total, size % total) for request, size in some if size % total]
         if rest:
