@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sanitised(name: Column, most: int = 255) -> Column:
+#: The characters left out of names, and the greatest length of a name.
+REFUSED = r'[<>:"/\\|?*\x00-\x1F.]'
+LONGEST = 255
+
+
+def sanitised(name: Column, most: int = LONGEST) -> Column:
     """Without characters that file systems refuse, and dots; at most 255 characters."""
-    return F.substring(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1F.]', ""), 1, most)
+    return F.substring(F.regexp_replace(name, REFUSED, ""), 1, most)
 
 
 def readable(base: str, params: list[str], values: Column, digest: Column) -> Column:
-    """Base-k_v-..._hash of the given keys of a map."""
-    pairs = [F.concat(F.lit(f"{k}_"), F.coalesce(F.try_element_at(values, F.lit(k)), F.lit(""))) for k in params]
+    """Base-k_v-..._hash of the given keys of a map, keys and values without refused characters."""
+    pairs = [F.concat(sanitised(F.lit(k)), F.lit("_"), sanitised(F.coalesce(F.try_element_at(values, F.lit(k)), F.lit("")))) for k in params]
     return F.concat(F.concat_ws("-", F.lit(base), *pairs), F.lit("_"), digest)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -13,3 +14,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The table marked for broadcast if it has at most ``rows`` rows, as it is otherwise: then Spark joins by
+    a shuffle.  The rows are counted, up to the bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from winnow.functions.lineage import cut
+from winnow.functions.order import numbered
 
 
 def step(size: int, overlap: float) -> int:
@@ -61,26 +61,6 @@ def non_overlapping(entries: DataFrame, per_mosaic: bool = False) -> DataFrame:
     return both.where(on).select(*entries.columns)
 
 
-def numbered(rows: DataFrame, *order: str, name: str = "new_id") -> DataFrame:
-    """Dense numbers from 0 in the given order, without gathering the rows in one partition.
-
-    The rows are range partitioned and sorted, and each partition's offset is the number of rows before
-    it; only the counts of the partitions go to the driver.
-    """
-    inside = F.monotonically_increasing_id()
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", inside))
-    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).count().collect())
-    offsets, before = {}, 0
-    for p, n in counts:
-        offsets[p] = before
-        before += n
-    if not offsets:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("_place")
-    offset = F.element_at(F.create_map(*(F.lit(int(x)) for kv in offsets.items() for x in kv)), part.cast("int"))
-    return placed.withColumn(name, (offset + within).cast("long")).drop("_place")
-
-
 def merged(manifests: list[DataFrame]) -> DataFrame:
     """All rows of the manifests in the order of the arguments, then of their ids, renumbered from 0."""
     tagged = [m.withColumn("source_ord", F.lit(k)) for k, m in enumerate(manifests)]

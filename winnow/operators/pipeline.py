@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.functions.files import exists
+from winnow.functions.files import exists, folders, remove
 from winnow.operators.registry import config_hash
 
 
@@ -60,15 +60,26 @@ def memoised(spark: SparkSession, root: str, config: dict, make: Callable[[], Da
     return spark.read.parquet(folder)
 
 
-def latest_step(spark: SparkSession, root: str, most: int = 10_000) -> int | None:
-    """The last of the folders step=0, 1, ... that was written to its end; steps are written in turn."""
-    last = None
-    for k in range(most):
-        if not exists(spark, f"{root}/step={k}"):
-            break
-        if exists(spark, f"{root}/step={k}/_SUCCESS"):
-            last = k
-    return last
+def steps(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the folders step=0, 1, ... that were written to their end."""
+    if not exists(spark, root):
+        return []
+    named = (name.partition("step=") for name in folders(spark, root))
+    known = sorted(int(number) for before, _, number in named if not before and number.isdigit())
+    return [k for k in known if exists(spark, f"{root}/step={k}/_SUCCESS")]
+
+
+def latest_step(spark: SparkSession, root: str) -> int | None:
+    """The last of the folders step=0, 1, ... that was written to its end."""
+    return max(steps(spark, root), default=None)
+
+
+def keep_steps(spark: SparkSession, root: str, most: int) -> list[int]:
+    """Remove the oldest whole steps beyond ``most``, and return those that stay."""
+    known = steps(spark, root)
+    for k in known[: max(0, len(known) - most)]:
+        remove(spark, f"{root}/step={k}")
+    return known[max(0, len(known) - most) :]
 
 
 def run_stages(stages: dict[str, tuple[list[str], Callable[..., object]]]) -> dict[str, object]:

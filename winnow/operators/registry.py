@@ -67,6 +67,12 @@ def copied(runs: DataFrame, run_id: str, new_id: str) -> DataFrame:
     return runs.where(F.col("run_id") == run_id).withColumn("tags", tags).withColumn("run_id", F.lit(new_id))
 
 
+def copied_rows(rows: DataFrame, run_id: str, new_id: str) -> DataFrame:
+    """A run's rows of a table keyed by run_id, such as the history of its metrics or the list of its artifacts,
+    under a new id."""
+    return rows.where(F.col("run_id") == run_id).withColumn("run_id", F.lit(new_id))
+
+
 def parent(params: str = "params", tags: str = "tags") -> Column:
     """The run that a run was made from: by tag, else by parameter."""
     keys = [F.try_element_at(F.col(tags), F.lit("parent_run")), F.try_element_at(F.col(tags), F.lit("mlflow.parentRunId"))]

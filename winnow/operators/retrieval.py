@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from winnow.operators.blocks import matrix
 from winnow.operators.vectors import cosine, doubles, l2
 
-#: Query rows that one pass holds in memory.
-QUERY_BLOCK = 100_000
+#: Bytes of the queries that one pass holds in memory.
+QUERY_BYTES = 64 << 20
 
 
 def similar_to(features: DataFrame, query: int, k: int) -> DataFrame:
@@ -36,15 +36,16 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 def knn(features: DataFrame, queries: DataFrame, k: int, metric: str = "l2", dim: int = 64, itself: bool = False) -> DataFrame:
     """(id, rank, neighbor_id, distance): exact k nearest rows of ``features`` of every query.
 
-    ``metric`` l2 is the Euclidean distance, cos is 1 - cosine.  A query meets all rows: blocks of queries are
-    sent to the rows, each batch of rows keeps its k best per query, and a window ranks what is left.  The
-    distances of the kept pairs are measured directly, ties go to the smaller id.
+    ``metric`` l2 is the Euclidean distance, cos is 1 - cosine.  A query meets all rows: blocks of queries of
+    QUERY_BYTES are sent to the rows, each task keeps the k best of a query over all its rows, and a window
+    ranks the few lists of a query.  The distances of the kept pairs are measured directly, ties go to the smaller
+    id.
     """
     if metric not in ("l2", "cos"):
         raise ValueError(f"unknown metric {metric!r}")
     spark = features.sparkSession
     slim = queries.select("id", doubles(F.col("embedding")).alias("embedding")).where(F.size("embedding") == dim)
-    blocks = max(1, -(-slim.count() // QUERY_BLOCK))
+    blocks = max(1, -(-slim.count() * dim * 8 // QUERY_BYTES))
     parts: DataFrame | None = None
     for b in range(blocks):
         own = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
@@ -60,28 +61,42 @@ def knn(features: DataFrame, queries: DataFrame, k: int, metric: str = "l2", dim
 
 
 def _search(shared, k: int, metric: str, dim: int, itself: bool):
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if metric == "l2":
+            return np.sqrt(((a - b) ** 2).sum(axis=1))
+        lengths = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        return 1 - np.where(lengths == 0, 0, (a * b).sum(axis=1) / np.where(lengths == 0, 1, lengths))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        best = np.full((len(ids), k), np.inf)
+        names = np.full((len(ids), k), -1, np.int64)
         for batch in batches:
             rows, x = matrix(batch, 1, dim)
-            names = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
-            if not len(names) or not len(ids):
+            own = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+            if not len(own) or not len(ids):
                 continue
-            step = max(1, 4_000_000 // len(names))
+            step = max(1, 4_000_000 // len(own))
             for at in range(0, len(ids), step):
-                d = _scores(q[at : at + step], x, metric)
+                part = slice(at, at + step)
+                d = _scores(q[part], x, metric)
                 if not itself:
-                    d[ids[at : at + step][:, None] == names[None, :]] = np.inf
+                    d[ids[part][:, None] == own[None, :]] = np.inf
                 m = min(k, d.shape[1])
-                bound = np.partition(d, m - 1, axis=1)[:, m - 1]
+                bound = np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1], best[part, -1])
                 i, j = np.nonzero((d <= bound[:, None] + 1e-7) & np.isfinite(d))
-                a, b = q[at + i], x[j]
-                if metric == "l2":
-                    exact = np.sqrt(((a - b) ** 2).sum(axis=1))
-                else:
-                    lengths = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
-                    exact = 1 - np.where(lengths == 0, 0, (a * b).sum(axis=1) / np.where(lengths == 0, 1, lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(names[j]), pa.array(exact)], names=["id", "neighbor_id", "distance"])
+                i0, j0 = np.nonzero(names[part] >= 0)
+                row = np.r_[i, i0]
+                name = np.r_[own[j], names[part][i0, j0]]
+                dist = np.r_[exact(q[at + i], x[j]), best[part][i0, j0]]
+                order = np.lexsort((name, dist, row))
+                row, name, dist = row[order], name[order], dist[order]
+                place = np.arange(len(row))
+                turn = place - np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], place, 0)) if len(row) else place
+                few = turn < k
+                best[at + row[few], turn[few]], names[at + row[few], turn[few]] = dist[few], name[few]
+        i, j = np.nonzero(names >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(names[i, j]), pa.array(best[i, j])], names=["id", "neighbor_id", "distance"])
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions.draws import draw_order
+from winnow.functions.order import drawn, numbered
 
 
 def _with_cut(children: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def per_cluster(assignment: DataFrame, n: int, seed: int) -> DataFrame:
 
 def flat(ids: DataFrame, n: int, seed: int) -> DataFrame:
     """M8: n ids, or all if there are fewer."""
-    return ids.select("id").orderBy(draw_order(seed, F.col("id")), "id").limit(n)
+    return drawn(ids.select("id"), n, seed, "id")
 
 
 def fraction(ids: DataFrame, share: int, seed: int) -> DataFrame:
@@ -133,8 +134,8 @@ def spot_check(ids: DataFrame, seed: int, n: int = 3) -> DataFrame:
 
 def remapped(sample: DataFrame, valid: DataFrame) -> DataFrame:
     """Ordinals of a subset back to its ids; ``valid`` is the subset, its ordinals in order of id."""
-    numbered = valid.select("id", (F.row_number().over(W.orderBy("id")) - 1).alias("ordinal"))
-    return sample.join(numbered, "ordinal").select("id", "replica")
+    ordinals = numbered(valid.select("id"), "id", name="ordinal")
+    return sample.join(ordinals, "ordinal").select("id", "replica")
 
 
 def configurations(n: int, levels: int, seed: int, spark) -> DataFrame:

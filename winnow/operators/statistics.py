@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from winnow.functions.order import accumulated, quantiles
 from winnow.operators.blocks import matrix
 from winnow.operators.vectors import doubles, sparsity
 
@@ -85,28 +86,30 @@ def histogram(values: DataFrame, bins: int = 100) -> DataFrame:
 
 def middle(values: DataFrame) -> DataFrame:
     """(side, n, mean, median) of each group."""
-    return values.groupBy("side").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.expr("percentile(value, 0.5)").alias("median"))
+    sums = values.groupBy("side").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return sums.join(quantiles(values, "value", [0.5], ["side"]), "side", "left").select("side", "n", "mean", F.col("q0").alias("median"))
 
 
 def zoom(points: DataFrame, q: float = 0.005, pad: float = 0.1) -> DataFrame:
     """Limits of x and y between the q / 2 tails, with a padding; no row if q is 1 or more."""
     if q >= 1:
         return points.select(*(F.lit(0.0).alias(n) for n in ("x_low", "x_high", "y_low", "y_high"))).limit(0)
-    out = points.agg(
-        *(F.expr(f"percentile({c}, array({q / 2}, {1 - q / 2}))").alias(c) for c in ("x", "y"))
-    )
+    x, y = (quantiles(points, c, [q / 2, 1 - q / 2]).select(F.col("q0").alias(f"{c}0"), F.col("q1").alias(f"{c}1")) for c in ("x", "y"))
+    out = x.join(y, F.lit(True))  # one row each
     cols = []
     for c in ("x", "y"):
-        low, high = F.get(F.col(c), F.lit(0)), F.get(F.col(c), F.lit(1))
+        low, high = F.col(f"{c}0"), F.col(f"{c}1")
         cols += [(low - pad * (high - low)).alias(f"{c}_low"), (high + pad * (high - low)).alias(f"{c}_high")]
     return out.select(*cols).where("x_low is not null")
 
 
-def contrast(pixels: DataFrame) -> DataFrame:
-    """(mosaic_name, low, high): centre of the 1st and 99th percentile, plus and minus half their distance."""
-    p = pixels.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("mosaic_name").agg(F.expr("percentile(value, array(0.01, 0.99))").alias("p"))
-    low, high = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    half = F.when(high > low, (high - low) / 2).otherwise(F.lit(0.1))
+def contrast(pixels: DataFrame, exponent: float = 0.0) -> DataFrame:
+    """(mosaic_name, low, high): centre of the 1st and 99th percentile, plus and minus half their distance
+    divided by 10 to the power ``exponent``."""
+    good = pixels.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    p = quantiles(good, "value", [0.01, 0.99], ["mosaic_name"])
+    low, high = F.col("q0"), F.col("q1")
+    half = F.when(high > low, (high - low) / 2).otherwise(F.lit(0.1)) / F.lit(float(10**exponent))
     return p.select("mosaic_name", ((low + high) / 2 - half).alias("low"), ((low + high) / 2 + half).alias("high"))
 
 
@@ -129,8 +132,7 @@ def mann_whitney(values: DataFrame) -> DataFrame:
     counts = values.where("value is not null").groupBy("value").agg(
         F.count_if(F.col("side") == "a").alias("na"), F.count("*").alias("t")
     )
-    before = F.coalesce(F.sum("t").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = accumulated(counts, "t", "value", name="before").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     s = ranked.agg(
         F.sum(F.col("na") * F.col("rank")).alias("r1"), F.sum("na").alias("n_a"), F.sum("t").alias("n"), F.sum(F.expr("cast(t as double) * t * t - t")).alias("ties")
     )
@@ -168,6 +170,31 @@ def kde(values: DataFrame, grid: int, bandwidth: float) -> DataFrame:
     )
 
 
+def kde_2d(points: DataFrame, grid: int, bandwidth: float) -> DataFrame:
+    """(gx, gy, x, y, density), Gaussian kernel density of points (x, y) on an equal grid over their ranges.
+
+    The kernel is a product, so a batch of points adds the product of two matrices to the grid; each task sends one
+    grid.  Points with a null or not finite part don't count; without points there is no row.
+    """
+    good = points.select(F.col("x").cast("double"), F.col("y").cast("double")).where("abs(x) < double('inf') and abs(y) < double('inf')")
+    n, x0, x1, y0, y1 = good.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not n:
+        return points.sparkSession.createDataFrame([], "gx int, gy int, x double, y double, density double")
+    gx, gy = np.linspace(x0, x1, grid), np.linspace(y0, y1, grid)
+
+    def run(batches):
+        total = np.zeros((grid, grid))
+        for batch in batches:
+            a, b = (np.exp(-0.5 * ((g[:, None] - batch.column(k).to_numpy()[None, :]) / bandwidth) ** 2) for k, g in enumerate((gx, gy)))
+            total += a @ b.T
+        at = np.arange(grid)
+        columns = [np.repeat(at, grid).astype(np.int32), np.tile(at, grid).astype(np.int32), np.repeat(gx, grid), np.tile(gy, grid), total.ravel()]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["gx", "gy", "x", "y", "s"])
+
+    parts = good.mapInArrow(run, "gx int, gy int, x double, y double, s double")
+    return parts.groupBy("gx", "gy", "x", "y").agg((F.sum("s") / (n * 2 * math.pi * bandwidth * bandwidth)).alias("density"))
+
+
 def kl_to_uniform(densities: DataFrame) -> DataFrame:
     """Divergence of a grid of densities, made to sum to one, from the even distribution."""
     p = densities.withColumn("p", F.col("density") / F.sum("density").over(W.partitionBy())).where("p > 0")

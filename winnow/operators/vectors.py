@@ -130,6 +130,38 @@ def grey_levels(v: Column) -> Column:
     return F.transform(min_max(v), lambda x: F.floor(x * 255).cast("int"))
 
 
+def encoded_levels(levels: Column) -> Column:
+    """The grey levels as bytes in base64; a null level gives null."""
+    digits = F.transform(levels, lambda x: F.lpad(F.lower(F.hex(x.cast("long"))), 2, "0"))
+    return F.when(~F.exists(levels, lambda x: x.isNull()), F.translate(F.base64(F.unhex(F.array_join(digits, ""))), "\r\n", ""))
+
+
+def resized(v: Column, height: Column, width: Column, to_height: int, to_width: int) -> Column:
+    """P10: a flattened image of height lines, resampled by linear interpolation between the centres of pixels; null
+    where the number of values is not height times width."""
+
+    def places(n: Column, to: int) -> Column:
+        """(low, high, part) of each new pixel's place among ``n`` old ones."""
+
+        def one(k: Column) -> Column:
+            at = F.greatest(F.lit(0.0), F.least((k + 0.5) * n / F.lit(float(to)) - 0.5, (n - 1).cast("double")))
+            return F.struct(F.floor(at).cast("int").alias("low"), F.least(F.floor(at) + 1, n - 1).cast("int").alias("high"), (at - F.floor(at)).alias("part"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(to - 1)), one)
+
+    def pixel(r: Column, c: Column) -> Column:
+        def at(row: Column, col: Column) -> Column:
+            return F.get(v, row * width + col)
+
+        upper = at(r["low"], c["low"]) * (1 - c["part"]) + at(r["low"], c["high"]) * c["part"]
+        lower = at(r["high"], c["low"]) * (1 - c["part"]) + at(r["high"], c["high"]) * c["part"]
+        return upper * (1 - r["part"]) + lower * r["part"]
+
+    rows, cols = places(height, to_height), places(width, to_width)
+    out = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: pixel(r, c))))
+    return F.when((F.size(v) == height * width) & (height > 0) & (width > 0), out)
+
+
 def channels(v: Column, n: int = 3) -> Column:
     """The row repeated as ``n`` channels, one after the other."""
     return F.flatten(F.array_repeat(v, n))

@@ -69,13 +69,13 @@ def l3_closest_n(spark, folder):
 
 
 def k10_two_level(spark, folder):
-    points, c = _start(spark, folder, 16)
-    one = K.lloyd(points, c, 2)
-    upper = one.table(spark).select(F.col("cluster_id").alias("id"), F.col("centroid").alias("embedding"))
-    two = K.lloyd(upper, K.random_init(upper, 4, SEED), 2)
-    low = K.assign(points, one).select("id", F.col("cluster_id").alias("level_1"))
-    high = K.assign(upper, two).select(F.col("id").alias("level_1"), F.col("cluster_id").alias("level_2"))
-    return low.join(F.broadcast(high), "level_1").select("id", "level_1", "level_2")
+    points = vectors(spark, folder).select("id", "embedding")
+    return K.levels(points, K.hierarchical(points, [16, 4], 2, SEED))
+
+
+def k10_three_level(spark, folder):
+    points = vectors(spark, folder).select("id", "embedding")
+    return K.levels(points, K.hierarchical(points, [24, 8, 3], 2, SEED))
 
 
 def k11_resample_step(spark, folder):
@@ -157,7 +157,7 @@ def a21_max_index(spark, folder):
 def queries():
     names = [
         k4_random_init, k5_assign_l2, k5_assign_cos, k5_assign_expression, a2_update_centroids, k7_lloyd, a6_potential, a4_cluster_lists,
-        w2_sort_by_distance, l3_closest_n, k10_two_level, k11_resample_step, k1_kmeanspp, k8_best_of, k13_split, k16_ml_kmeans, j10_flatten, j11_trace,
+        w2_sort_by_distance, l3_closest_n, k10_two_level, k10_three_level, k11_resample_step, k1_kmeanspp, k8_best_of, k13_split, k16_ml_kmeans, j10_flatten, j11_trace,
         a5_sizes, w4_size_order, a14_level_sizes, j12_trace_members, j17_positions, a21_max_index,
     ]
     return {f.__name__: f for f in names}
@@ -233,6 +233,33 @@ def _two_level() -> str:
     return s.select(f"SELECT a.id, a.cluster_id AS level_1, b.cluster_id AS level_2 FROM {a} a JOIN {b} b ON b.id = a.cluster_id")
 
 
+def _three_level() -> str:
+    s = _Sql(VECTORS)
+    centres, points = [], "f"
+    for n, k in enumerate((24, 8, 3)):
+        c = s.lloyd(f"l{n}", points, s.init(f"k{n}", points, k), 2)
+        centres.append((points, c))
+        points = s.add(f"up{n}", f"SELECT cluster_id AS id, c AS v FROM {c}")
+    a = [s.assign(f"a{n}", p, c) for n, (p, c) in enumerate(centres)]
+    return s.select(
+        f"SELECT x.id, x.cluster_id AS level_1, y.cluster_id AS level_2, z.cluster_id AS level_3 FROM {a[0]} x JOIN {a[1]} y ON y.id = x.cluster_id JOIN {a[2]} z ON z.id = y.cluster_id"
+    )
+
+
+def _best_of() -> str:
+    """Two starts; of the centroids with the smaller sum of distances the assignment."""
+    s = _Sql(VECTORS)
+    found = []
+    for n in range(2):
+        c = s.lloyd(f"b{n}", "f", s.init(f"bk{n}", "f", 8, SEED + n), 2)
+        found.append(s.assign(f"ba{n}", "f", c))
+    a, b = found
+    return s.select(
+        f"SELECT id, cluster_id, round(dist, 6) AS dist FROM {a} WHERE (SELECT sum(dist) FROM {a}) <= (SELECT sum(dist) FROM {b}) UNION ALL "
+        f"SELECT id, cluster_id, round(dist, 6) FROM {b} WHERE (SELECT sum(dist) FROM {a}) > (SELECT sum(dist) FROM {b})"
+    )
+
+
 def _resampled(s: _Sql, k: str) -> str:
     c = s.lloyd("l", "f", k, 1)
     a = s.assign("ra", "f", c)
@@ -262,6 +289,8 @@ def oracle_sql():
         "w2_sort_by_distance": _clustering(lambda s, k: f"SELECT cluster_id, id, round(dist, 6) AS dist, rank_in_cluster FROM {_ranked(s, k)}"),
         "l3_closest_n": _clustering(lambda s, k: f"SELECT cluster_id, id, round(dist, 6) AS dist, rank_in_cluster FROM {_ranked(s, k)} WHERE rank_in_cluster <= 5"),
         "k10_two_level": _two_level(),
+        "k10_three_level": _three_level(),
+        "k8_best_of": _best_of(),
         "k11_resample_step": _clustering(_resampled),
         "j10_flatten": f"WITH {TREE}, {_TRACE} SELECT 1 AS level, level_1 AS cluster_id, id FROM tr UNION ALL SELECT 2, level_2, id FROM tr UNION ALL SELECT 3, level_3, id FROM tr",
         "j11_trace": f"WITH {TREE}, {_TRACE} SELECT * FROM tr",

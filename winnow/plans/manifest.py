@@ -67,8 +67,13 @@ def a1_blank_mean_std(spark, folder):
     return rounded(blank_aware(pixels(spark, folder)), "mean", "std")
 
 
+def proj3_patch_names(spark, folder):
+    """The names of the files of a grid's windows."""
+    return M.windows(table(spark, folder, "mosaics"), SIZE, 0.5).select("mosaic_name", "file_name")
+
+
 def proj16_contrast(spark, folder):
-    return rounded(contrast(pixels(spark, folder)), "low", "high")
+    return rounded(contrast(pixels(spark, folder), 0.5), "low", "high")
 
 
 def a22_counts(spark, folder):
@@ -125,6 +130,7 @@ def queries():
         "j13_cluster_pairs": j13_cluster_pairs,
         "a15_pair_statistics": a15_pair_statistics,
         "a1_blank_mean_std": a1_blank_mean_std,
+        "proj3_patch_names": proj3_patch_names,
         "proj16_contrast": proj16_contrast,
         "a22_counts": a22_counts,
         "j2_alignment": j2_alignment,
@@ -162,6 +168,7 @@ _ON_GRID = "((pos_row - r0) % s0 + s0) % s0 = 0 AND ((pos_col - c0) % s0 + s0) %
 
 def oracle_sql():
     return {
+        "proj3_patch_names": f"""WITH {_grid("mosaics", SIZE)} SELECT mosaic_name, format('patch_{{}}_{{}}.npy', pos_row, pos_col) AS file_name FROM g""",
         "proj1_cutout_grid": f"""WITH {_grid("mosaics", SIZE)} SELECT mosaic_name, pos_row, pos_col, 'patch_' || pos_row || '_' || pos_col || '.npy' AS file_name FROM g""",
         "proj2_blank_filter": f"""WITH {PIXELS}, {_grid("m", 4)} SELECT mosaic_name, pos_row, pos_col FROM g WHERE NOT EXISTS (SELECT 1 FROM px
 WHERE px.mosaic_name = g.mosaic_name AND px.value IS NULL AND px."row" BETWEEN g.pos_row AND g.pos_row + 3 AND px."col" BETWEEN g.pos_col AND g.pos_col + 3)""",
@@ -179,7 +186,7 @@ SELECT row_number() OVER (ORDER BY source_ord, id) - 1 AS new_id, source_ord, id
         "a15_pair_statistics": f"WITH {_PAIRS_IN} SELECT round(avg(pairs), 6) AS mean_pairs, max(pairs) AS max_pairs, min(pairs) AS min_pairs FROM cp",
         "a1_blank_mean_std": f"WITH {PIXELS} SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM px",
         "proj16_contrast": f"""WITH {PIXELS}, q AS (SELECT mosaic_name, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM px WHERE value IS NOT NULL GROUP BY 1)
-SELECT mosaic_name, round((lo + hi) / 2 - CASE WHEN hi > lo THEN (hi - lo) / 2 ELSE 0.1 END, 6) AS low, round((lo + hi) / 2 + CASE WHEN hi > lo THEN (hi - lo) / 2 ELSE 0.1 END, 6) AS high FROM q""",
+SELECT mosaic_name, round((lo + hi) / 2 - CASE WHEN hi > lo THEN (hi - lo) / 2 ELSE 0.1 END / sqrt(10), 6) AS low, round((lo + hi) / 2 + CASE WHEN hi > lo THEN (hi - lo) / 2 ELSE 0.1 END / sqrt(10), 6) AS high FROM q""",
         "a22_counts": f"WITH {CUTOUTS} SELECT cutout_run, count(*) AS num_cutouts FROM c GROUP BY 1",
         "j2_alignment": """WITH f AS (SELECT id, min(file_path) AS fp FROM features GROUP BY 1), m AS (SELECT id, min(file_path) AS mp FROM cutouts GROUP BY 1)
 SELECT CASE WHEN f.id IS NULL THEN 'no feature' WHEN m.id IS NULL THEN 'no cutout' WHEN fp IS DISTINCT FROM mp THEN 'paths differ' ELSE 'aligned' END AS problem, count(*) AS n

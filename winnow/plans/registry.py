@@ -41,8 +41,13 @@ def s11_manifest_files(spark, folder):
     return _runs(spark, folder).select("run_id", R.manifest_file().alias("manifest"))
 
 
+def l6_head(spark, folder):
+    """The first rows of the sorted runs, as a report."""
+    return _runs(spark, folder).orderBy("run_id").select("run_id", "experiment").limit(3)
+
+
 def l5_recent_first(spark, folder):
-    return R.matching(_runs(spark, folder), experiment="features").select("run_id", "start_time").limit(5)
+    return R.matching(_runs(spark, folder), experiment="features").select("run_id", "start_time")
 
 
 def _annotations(spark, folder):
@@ -100,7 +105,7 @@ def proj31_hosts(spark, folder):
 
 
 def queries():
-    names = [r2_find_run, r3_differing_params, r3_differing_values, r4_copy_run, j14_lineage, s11_manifest_files, l5_recent_first, proj13_parse_labels, j1_labelled, j7_unlabelled, a19_label_counts, a24_combinations, u7_upsert, proj22_safe_names, proj18_sanitize, proj19_readable_names, proj21_parameters, proj31_hosts]
+    names = [r2_find_run, r3_differing_params, r3_differing_values, r4_copy_run, j14_lineage, s11_manifest_files, l5_recent_first, l6_head, proj13_parse_labels, j1_labelled, j7_unlabelled, a19_label_counts, a24_combinations, u7_upsert, proj22_safe_names, proj18_sanitize, proj19_readable_names, proj21_parameters, proj31_hosts]
     return {f.__name__: f for f in names}
 
 
@@ -123,7 +128,8 @@ t AS (SELECT l.run_id, 1 AS step, a.run_id AS ancestor_id, a.experiment, a.paren
 UNION ALL SELECT t.run_id, t.step + 1, a.run_id, a.experiment, a.parent_id FROM t JOIN l a ON a.run_id = t.nxt WHERE t.step < 6)
 SELECT run_id, step, ancestor_id, experiment FROM t""",
         "s11_manifest_files": "SELECT run_id, coalesce(params['merged_cutouts_info_filename'], params['cutouts_info_filename']) AS manifest FROM runs",
-        "l5_recent_first": "SELECT run_id, start_time FROM runs WHERE experiment = 'features' ORDER BY start_time DESC, run_id LIMIT 5",
+        "l6_head": "SELECT run_id, experiment FROM runs ORDER BY run_id LIMIT 3",
+        "l5_recent_first": "SELECT run_id, start_time FROM runs WHERE experiment = 'features' ORDER BY start_time DESC, run_id",
         "proj13_parse_labels": f"WITH {_PARSED} SELECT file_path, annotated_at, array_to_string(cats, '|') AS categories FROM pa",
         "j1_labelled": f"WITH {CUTOUTS}, {_PARSED} SELECT c.id, file_path, array_to_string(cats, '|') AS categories FROM c JOIN pa USING (file_path)",
         "j7_unlabelled": f"WITH {CUTOUTS}, {_PARSED} SELECT id FROM c WHERE file_path NOT IN (SELECT file_path FROM pa WHERE file_path IS NOT NULL)",
@@ -134,7 +140,8 @@ ORDER BY CASE WHEN annotated_at >= TIMESTAMP '2024-12-01' THEN 1 ELSE 0 END DESC
         "proj22_safe_names": f"WITH {_PARSED} SELECT DISTINCT lower(trim(c)) AS category, regexp_replace(lower(trim(c)), '[^A-Za-z0-9 _]', '', 'g') AS safe FROM (SELECT unnest(cats) AS c FROM pa)",
         "proj18_sanitize": f"""WITH {CUTOUTS} SELECT id, left(regexp_replace(file_path, '[<>:"/\\\\|?*\\x00-\\x1F.]', '', 'g'), 255) AS safe,
 split_part(file_path, '/', -1) AS base, substr(md5(file_path), 1, 8) AS hash FROM c""",
-        "proj19_readable_names": "SELECT run_id, 'run-size_' || coalesce(params['size'], '') || '-overlap_' || coalesce(params['overlap'], '') || '_' || substr(md5(run_id), 1, 8) AS name FROM runs",
+        "proj19_readable_names": r"""SELECT run_id, 'run-size_' || left(regexp_replace(coalesce(params['size'], ''), '[<>:"/\\|?*\x00-\x1F.]', '', 'g'), 255)
+|| '-overlap_' || left(regexp_replace(coalesce(params['overlap'], ''), '[<>:"/\\|?*\x00-\x1F.]', '', 'g'), 255) || '_' || substr(md5(run_id), 1, 8) AS name FROM runs""",
         "proj21_parameters": """SELECT run_id, key, coalesce(value, '') AS value FROM (SELECT run_id, unnest(map_entries(params), recursive := true) FROM runs)
 UNION ALL SELECT run_id, 'a', 'b=c' FROM runs""",
         "proj31_hosts": """SELECT s_suppkey, 'login' AS host FROM supplier WHERE s_suppkey % 5 = 0

@@ -61,6 +61,10 @@ def v5_norms(spark, folder):
     return rounded(vectors(spark, folder).select("id", V.norm(v).alias("length"), V.mean(v).alias("mean"), V.std(v).alias("std"), V.sparsity(v).alias("sparsity")), "length", "mean", "std", "sparsity")
 
 
+def proj32_base64(spark, folder):
+    return vectors(spark, folder).select("id", V.encoded_levels(V.grey_levels(F.col("embedding"))).alias("encoded"))
+
+
 def queries():
     return {
         "proj8_minmax": _each(V.min_max),
@@ -72,6 +76,8 @@ def queries():
         "proj17_tokens": proj17_tokens,
         "proj30_standardise": _each(V.standardised),
         "proj32_grey_levels": _each(_scaled),
+        "proj32_base64": proj32_base64,
+        "proj10_resized": _each(lambda v: V.resized(v, F.lit(8), F.lit(8), 5, 12)),
         "v1_l2": _to_first(V.squared_l2),
         "v2_cos": _to_first(lambda a, b: V.distance(a, b, "cos")),
         "v5_norms": v5_norms,
@@ -95,6 +101,11 @@ t AS (SELECT id, list_transform(l, lambda x: coalesce(x, list_min(list_filter(l,
 SELECT id, CAST(pos - 1 AS INT) AS pos, round(y[pos], 6) AS x FROM (SELECT id, y, unnest(range(1, len(y) + 1)) AS pos FROM t)""",
         "proj17_tokens": _each_sql("v[1:8]"),
         "proj30_standardise": _each_sql("list_transform(v, lambda x: (x - list_avg(v)) / (list_stddev_pop(v) + 1e-6))"),
+        "proj32_base64": f"""WITH {VECTORS}, t AS (SELECT id, list_transform({_MM}, lambda x: CAST(floor(x * 255) AS INT)) AS g FROM f)
+SELECT id, to_base64(unhex(list_aggregate(list_transform(g, lambda x: lpad(hex(x), 2, '0')), 'string_agg', ''))) AS encoded FROM t""",
+        "proj10_resized": f"""WITH {VECTORS}, rp AS (SELECT r, least(greatest((r + 0.5::DOUBLE) * 8 / 5 - 0.5, 0), 7) AS at FROM range(5) t(r)), cp AS (SELECT c, least(greatest((c + 0.5::DOUBLE) * 8 / 12 - 0.5, 0), 7) AS at FROM range(12) t(c)),
+g AS (SELECT r * 12 + c AS pos, CAST(floor(rp.at) AS INT) AS r0, CAST(least(floor(rp.at) + 1, 7) AS INT) AS r1, rp.at - floor(rp.at) AS pr, CAST(floor(cp.at) AS INT) AS c0, CAST(least(floor(cp.at) + 1, 7) AS INT) AS c1, cp.at - floor(cp.at) AS pc FROM rp, cp)
+SELECT id, CAST(pos AS INT) AS pos, round((v[r0 * 8 + c0 + 1] * (1 - pc) + v[r0 * 8 + c1 + 1] * pc) * (1 - pr) + (v[r1 * 8 + c0 + 1] * (1 - pc) + v[r1 * 8 + c1 + 1] * pc) * pr, 6) AS x FROM f, g""",
         "proj32_grey_levels": _each_sql(f"list_transform({_MM}, lambda x: CAST(floor(x * 255) AS DOUBLE))"),
         "v1_l2": _to_first_sql("list_sum(list_transform(range(1, 65), lambda i: (v[i] - q[i]) * (v[i] - q[i])))"),
         "v2_cos": _to_first_sql("2 - 2 * list_inner_product(v, q)"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 from collections.abc import Iterator
 
@@ -114,6 +115,104 @@ def write_features(features: DataFrame, folder: str, mode: str = "error") -> Non
     features.write.mode(mode).parquet(folder)
 
 
+def npy_files(features: DataFrame, folder: str, rows: int = ROWS, vector: str = "embedding") -> DataFrame:
+    """The vectors as .npy matrices of ``rows`` rows, in the order of their ids: (path, rows) of what was written.
+
+    ``folder`` is one that all executors share.  The files are numbered in order, so :func:`read_features` of the
+    folder gives them back with ids counted from 0.  Vectors of a file have one length; null ones are an error.
+    """
+    from winnow.functions.order import numbered
+
+    placed = numbered(features.select("id", vector), "id", name="place")
+    os.makedirs(folder, exist_ok=True)
+
+    def write(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("place").to_numpy())
+        part = int(table.column("part")[0].as_py())
+        x = np.array([table.column(vector)[int(k)].as_py() for k in order], np.float32)
+        if x.ndim != 2 or np.isnan(x).all():
+            raise ValueError("vectors are null or of different lengths")
+        path = os.path.join(folder, f"part-{part:08d}.npy")
+        with open(f"{path}.writing", "wb") as f:
+            np.save(f, x)
+        os.replace(f"{path}.writing", path)  # a task that runs twice leaves one whole file
+        return pa.table({"path": [path], "rows": [len(x)]})
+
+    parts = placed.withColumn("part", F.floor(F.col("place") / rows))
+    return parts.groupBy("part").applyInArrow(write, "path string, rows long")
+
+
+def write_npy_sample(sample: DataFrame, path: str, most: int = 100_000_000, ids: str = "id") -> int:
+    """The ids of a sample, ascending, repeats kept, as a vector of whole numbers in one .npy file.
+
+    A sample of more than ``most`` rows is an error; it is written as Parquet (:func:`write_sample`)."""
+    n = sample.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many for one file")
+    values = sample.select(F.col(ids).cast("long").alias("i")).toArrow().column("i").to_numpy()
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "wb") as f:
+        np.save(f, np.sort(values))
+    return n
+
+
+def write_sample(sample: DataFrame, root: str, name: str) -> str:
+    """The sample as Parquet in a folder of the sample's name; returns the folder."""
+    folder = f"{root.rstrip('/')}/{name}"
+    sample.write.mode("overwrite").parquet(folder)
+    return folder
+
+
+def read_sample(spark: SparkSession, path: str) -> DataFrame:
+    """(position, id) of a sample: an .npy vector of whole numbers, or a Parquet folder with an id.
+
+    Anything else than a one-dimensional vector of whole numbers is a ValueError.
+    """
+    if not path.endswith(".npy"):
+        try:
+            table = spark.read.parquet(path)
+        except Exception as problem:
+            raise SourceNotFoundError(path) from problem
+        if dict(table.dtypes).get("id") not in ("bigint", "int", "smallint", "tinyint"):
+            raise ValueError(f"{path} has no whole numbers as id")
+        from winnow.functions.order import numbered
+
+        return numbered(table.select(F.col("id").cast("long")), "id", name="position").select("position", "id")
+    local = path.removeprefix("file:")
+    if not os.path.exists(local):
+        raise SourceNotFoundError(path)
+    vector = np.load(local, mmap_mode="r", allow_pickle=False)
+    if vector.ndim != 1 or vector.dtype.kind not in "iu":
+        raise ValueError(f"{path} is no vector of whole numbers, but {vector.dtype} of {vector.ndim} dimensions")
+    size = len(vector)
+
+    def run(batches):
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                part = np.load(local, mmap_mode="r", allow_pickle=False)[start : start + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(part))), pa.array(part.astype(np.int64))], names=["position", "id"])
+
+    return spark.range(0, size, ROWS, max(1, min(size // ROWS + 1, 10_000))).mapInArrow(run, "position long, id long")
+
+
+def write_neighbours(lists: DataFrame, folder: str, params: dict) -> None:
+    """Lists (id, rank, neighbor_id, distance) as Parquet, and the parameters of the search beside them as JSON."""
+    spark = lists.sparkSession
+    lists.select("id", "rank", "neighbor_id", "distance").write.mode("overwrite").parquet(f"{folder.rstrip('/')}/lists")
+    text = spark.createDataFrame([(json.dumps(params, sort_keys=True, default=str),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{folder.rstrip('/')}/params")
+
+
+def read_neighbours(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    """What :func:`write_neighbours` wrote."""
+    try:
+        lists = spark.read.parquet(f"{folder.rstrip('/')}/lists")
+        params = json.loads(spark.read.text(f"{folder.rstrip('/')}/params").first()["value"])
+    except Exception as problem:
+        raise SourceNotFoundError(folder) from problem
+    return lists, params
+
+
 def _fits_card(card: bytes) -> tuple[str, str]:
     text = card.decode("ascii", "replace")
     value = text[10:].split("/")[0].strip() if text[8:10] == "= " else ""
@@ -180,3 +279,67 @@ def read_clustering(spark: SparkSession, folder: str, levels: int | None = None)
     except Exception as problem:
         raise SourceNotFoundError(folder) from problem
     return both if levels is None else tuple(t.where(F.col("level") <= levels) for t in both)
+
+
+def read_level_folders(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, centroids) of a hierarchy in folders level1, level2, ... of NumPy files.
+
+    Each has ``centroids.npy``, a matrix, and ``sorted_clusters.npy``, an array of lists: of each cluster the rows of
+    the level below (of the points at level 1), the nearest first.  Lists of Python objects are only
+    read here, from files that the caller trusts.  A level is read by its own task, a cluster at a time.
+    """
+    local = folder.removeprefix("file:").rstrip("/")
+    levels = sorted(int(n[5:]) for n in os.listdir(local) if n.startswith("level") and n[5:].isdigit()) if os.path.isdir(local) else []
+    if not levels or levels != list(range(1, len(levels) + 1)):
+        raise SourceNotFoundError(f"{folder} has no folders level1, level2, ...")
+
+    def lists(batches):
+        for batch in batches:
+            for level in batch.column(0).to_pylist():
+                found = np.load(f"{local}/level{level}/sorted_clusters.npy", allow_pickle=True)
+                for parent, members in enumerate(found):
+                    ids = np.asarray(members, np.int64)
+                    n = len(ids)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, level, np.int32)), pa.array(np.full(n, parent, np.int64)), pa.array(ids), pa.array(np.arange(1, n + 1, dtype=np.int32))],
+                        names=["level", "parent_id", "child_id", "rank_in_cluster"],
+                    )
+
+    def matrices(batches):
+        for batch in batches:
+            for level in batch.column(0).to_pylist():
+                x = np.load(f"{local}/level{level}/centroids.npy", mmap_mode="r", allow_pickle=False)
+                for a in range(0, len(x), 10_000):
+                    part = np.asarray(x[a : a + 10_000], np.float64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), level, np.int32)), pa.array(np.arange(a, a + len(part))), pa.array(list(part), pa.list_(pa.float64()))],
+                        names=["level", "cluster_id", "centroid"],
+                    )
+
+    numbers = spark.range(1, len(levels) + 1, 1, len(levels))
+    edges = numbers.mapInArrow(lists, "level int, parent_id long, child_id long, rank_in_cluster int")
+    return edges, numbers.mapInArrow(matrices, "level int, cluster_id long, centroid array<double>")
+
+
+def load_of_run(spark: SparkSession, runs: DataFrame, run_id: str, root: str, kind: str) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The table that a run's parameters name: ``kind`` is cutouts, features or clusters.
+
+    The file name is looked up in the run's parameters, the merged manifest before that of one source, and is
+    taken below ``root``/run_id.  A run that isn't there, or one without the parameter, is a
+    SourceNotFoundError.
+    """
+    from winnow.sources.manifests import read_manifest
+
+    keys = {"cutouts": ("merged_cutouts_info_filename", "cutouts_info_filename"), "features": ("features_filename",), "clusters": ("clusters_folder",)}
+    if kind not in keys:
+        raise ValueError(f"unknown kind {kind!r}")
+    found = runs.where(F.col("run_id") == run_id).select("params").limit(1).collect()
+    if not found:
+        raise SourceNotFoundError(f"no run {run_id}")
+    name = next((v for k in keys[kind] if (v := (found[0]["params"] or {}).get(k))), None)
+    if name is None:
+        raise SourceNotFoundError(f"run {run_id} names no {kind}")
+    path = f"{root.rstrip('/')}/{run_id}/{name}"
+    if kind == "cutouts":
+        return read_manifest(spark, path)
+    return read_features(spark, path) if kind == "features" else read_clustering(spark, path)

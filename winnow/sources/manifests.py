@@ -70,6 +70,17 @@ def folders_without(spark: SparkSession, path: str, name: str = "info.json") ->
     return parts.groupBy("folder").agg(F.max((F.col("name") == name).cast("int")).alias("has")).where("has = 0").select("folder")
 
 
+def misnamed(spark: SparkSession, path: str, name: str = "info") -> DataFrame:
+    """(path, new_path) of files ``info`` to ``.json`` with further characters before the suffix, and the name they
+    ought to have; a folder with several of them, or with the right one, is left alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    parts = files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.substring_index("path", "/", -1).alias("file"))
+    wrong = F.col("file").rlike(rf"^{name}.+[.]json$")
+    right = F.col("file") == f"{name}.json"
+    sums = parts.groupBy("folder").agg(F.count_if(wrong).alias("n"), F.count_if(right).alias("ok"), F.max(F.when(wrong, F.col("path"))).alias("path"))
+    return sums.where("n = 1 and ok = 0").select("path", F.concat("folder", F.lit(f"/{name}.json")).alias("new_path"))
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, categories) of CSV files with a header."""
     try:
