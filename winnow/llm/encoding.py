@@ -141,7 +141,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = SparkFiles.get(name)
-        encoder = kept(("encoder", path), lambda: Encoder(path))
+        state = Path(path).stat()  # another file of the same name is another vocabulary
+        encoder = kept(("encoder", path, state.st_size, state.st_mtime_ns), lambda: Encoder(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
