@@ -2,15 +2,16 @@
 
 import inspect
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from winnow.llm import clusters, kernels, near_duplicates, neighbours, varied
+from winnow.llm import clusters, kernels, near_duplicates, neighbours, queries, varied
 from winnow.llm.components import components
 from winnow.llm.forest import ForestConfig, fit_forest
 from winnow.llm.hierarchy import condensed, topmost
-from winnow.llm.packs import mix, pack, unpack
+from winnow.llm.packs import mix, pack, unit, unpack, usable
 from winnow.llm.spanning import SCALE, minimum_forest
 
 DIM = 64
@@ -405,3 +406,50 @@ def test_rows_with_many_copies():
         for i in (*rng.choice(len(x), 60), *np.flatnonzero(np.isin(order, [4000, 4050, 4051, 4052, 4053]))):
             want = [j for j in np.lexsort((np.arange(len(x)), -s[i]))[:5] if s[i, j] >= 5e5]
             assert sorted(col[row == i]) == sorted(want)
+
+
+def _duck(folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    """The queries against all pairs of vectors in SQL."""
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("needs the test tables")
+    got = queries.queries()[name](spark, str(folder))
+    columns = ", ".join(got.columns)
+    want = _duck(folder).execute(f"SELECT {columns} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+
+
+def test_recall_of_the_found_neighbours(spark):
+    """The 5 nearest of the ids divisible by 100 against brute force, with production parameters, where leaves are cut."""
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("needs the test tables")
+    features = spark.read.parquet(str(folder / "features.parquet"))
+    ids, x = [], []
+    for batch in features.select("id", "embedding").toArrow().combine_chunks().to_batches():
+        i, v = usable(batch, DIM)
+        ids.append(i)
+        x.append(v)
+    ids, at = np.unique(np.concatenate(ids), return_index=True)
+    x = unit(np.concatenate(x)[at])
+    asked = np.flatnonzero(ids % 100 == 0)
+    micro = np.rint(x[asked] @ x.T * 1e6)
+    micro[np.arange(len(asked)), asked] = -2e6
+    for floor, config in ((0.82, neighbours.ALIKE), (-1.0, neighbours.ANY)):
+        lists = neighbours.most_similar(features, 5, floor, config).where("id % 100 = 0").collect()
+        got = {(r.id, r.neighbor_id) for r in lists}
+        want = set()
+        for row, k in enumerate(asked):
+            best = np.lexsort((ids, -micro[row]))[:5]
+            want |= {(int(ids[k]), int(ids[j])) for j in best if micro[row, j] >= floor * 1e6}
+        assert len(want) > 1000 and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)

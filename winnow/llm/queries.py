@@ -88,5 +88,39 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in all_}
 
 
+#: Usable vectors, one row for each id.
+_USABLE = """u AS MATERIALIZED (SELECT id, CAST(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS DOUBLE[64]) AS v FROM features
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY extracted_at) = 1)"""
+
+
+def _pairs(floor: float) -> str:
+    """All pairs of at least ``floor``, by comparing all vectors."""
+    return f"pr AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id WHERE array_cosine_similarity(a.v, b.v) >= {floor})"
+
+
+#: The smallest id that each id reaches over pairs.
+_REACHED = """e AS MATERIALIZED (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr),
+r AS (SELECT DISTINCT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY 1)"""
+
+#: The pairs that neither name nor position contradicts.
+_COMPATIBLE = """k AS (SELECT id, nullif(regexp_extract(mosaic_name, '(?:^|[^0-9])([0-9]{5})(?:[^0-9]|$)', 1), '') AS m,
+CASE WHEN len("position") = 2 AND "position"[1] IS NOT NULL AND "position"[2] IS NOT NULL THEN "position" END AS p FROM cutouts QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1),
+pr AS MATERIALIZED (SELECT a, b FROM near LEFT JOIN k x ON x.id = a LEFT JOIN k y ON y.id = b WHERE NOT coalesce(x.m <> y.m, false)
+AND NOT coalesce(abs(CAST(x.p[1] AS BIGINT) - y.p[1]) > 64 OR abs(CAST(x.p[2] AS BIGINT) - y.p[2]) > 64, false))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force over all pairs.  p2_found is a search with few misses; its leaves are whole tables up to 4,096
+    vectors, so there it finds all."""
+    near = _pairs(0.98).replace("pr AS", "near AS", 1)
+    return {
+        "p2_found": f"""WITH {_USABLE}, s AS (SELECT a.id AS a, b.id AS b, round(array_cosine_similarity(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.id <> b.id WHERE array_cosine_similarity(a.v, b.v) >= 0.82),
+t AS (SELECT a, b FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t""",
+        "p3_found": f"""WITH RECURSIVE {_USABLE}, {_pairs(0.82)}, {_REACHED}
+SELECT root AS cluster_id, id FROM c WHERE root IN (SELECT root FROM c GROUP BY 1 HAVING count(*) >= 5)""",
+        "p4_found": f"WITH {_USABLE}, {near}, {_COMPATIBLE} SELECT a AS id_a, b AS id_b FROM pr",
+        "p4_groups": f"""WITH RECURSIVE {_USABLE}, {near}, {_COMPATIBLE}, {_REACHED}
+SELECT c.id, c.root AS group_id, count(*) AS links FROM c JOIN e ON e.a = c.id GROUP BY 1, 2""",
+    }
