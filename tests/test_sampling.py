@@ -67,3 +67,22 @@ def test_sizes_count_empty_clusters(spark):
 def test_definition_of_the_cut(sizes, target):
     cut = _cut(sizes, target)
     assert sum(min(cut, a) for a in sizes) <= max(target, sum(sizes) if sum(sizes) <= target else target)
+
+
+def test_turns_of_a_large_cluster(spark):
+    """Only about as many points as are drawn are ranked, and they are the ones a full sort gives."""
+    from winnow.functions.draws import draw_order
+
+    points = spark.range(3000).select(F.lit(1).cast("long").alias("cluster_id"), "id", F.lit(100).cast("long").alias("quota"), F.lit(3000).cast("long").alias("flat_size"))
+    turns = S._turns(points, 1, 9)
+    assert turns.count() == 3000 and 100 <= turns.where("turn < 2147483647").count() < 500
+    want = {r.id for r in points.orderBy(draw_order(9, F.col("id")), "id").limit(100).collect()}
+    assert {r.id for r in turns.where("turn <= 100").collect()} == want
+
+
+def test_running_draws(spark):
+    weights = spark.createDataFrame([(3, 5), (1, 2), (2, 0), (7, 3)], "cluster_id long, flat_size long")
+    draws = spark.createDataFrame([(0, 0.0), (1, 0.2), (2, 0.21), (3, 0.7), (4, 0.71), (5, 0.999)], "draw long, u double")
+    got = {r.draw: r.cluster_id for r in S.running_draws(weights, draws).collect()}
+    assert got == {0: 1, 1: 1, 2: 3, 3: 3, 4: 7, 5: 7}
+    assert S.running_draws(weights.limit(0), draws).count() == 0

@@ -82,3 +82,49 @@ def test_pca_finds_the_long_axis(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
     out = sorted(T.pca(df, df, 3, 2, scale=False).collect())
     assert abs(np.corrcoef([r.pc[0] for r in out], x[:, 0])[0, 1]) > 0.99
+
+
+def test_classifier_of_two_samples(spark):
+    rng = np.random.default_rng(2)
+
+    def table(x):
+        return spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, embedding array<double>")
+
+    a = rng.normal(size=(300, 5))
+    same = T.two_sample_classifier(table(a), table(rng.normal(size=(300, 5)))).first()
+    far = T.two_sample_classifier(table(a), table(rng.normal(size=(300, 5)) + 3)).first()
+    assert same.accuracy < 0.6 and same.verdict == "alike"
+    assert far.accuracy > 0.95 and far.verdict == "very different"
+
+
+def test_density_in_two_dimensions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 2))
+    table = spark.createDataFrame([(float(a), float(b)) for a, b in x] + [(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    got = {(r.gx, r.gy): r.density for r in T.kde_2d(table, 7, 0.4).collect()}
+    gx, gy = (np.linspace(x[:, k].min(), x[:, k].max(), 7) for k in (0, 1))
+    for (i, j), d in got.items():
+        want = np.exp(-0.5 * (((gx[i] - x[:, 0]) / 0.4) ** 2 + ((gy[j] - x[:, 1]) / 0.4) ** 2)).sum() / (200 * 2 * np.pi * 0.16)
+        assert abs(d - want) < 1e-12
+    assert len(got) == 49 and T.kde_2d(table.limit(0), 7, 0.4).count() == 0
+
+
+def test_verified_table(spark):
+    features = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "b", [1.0]), (3, "c", [float("nan"), 1.0])], "id long, file_path string, embedding array<double>")
+    manifest = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "id long, file_path string")
+    got = {r.phase: (r.ok, r.detail) for r in T.verified(features, manifest, 2).collect()}
+    assert got == {"structure": (True, ""), "shape": (False, "1 rows"), "alignment": (False, "no cutout 1,no feature 1,paths differ 1"), "numbers": (False, "1 rows")}
+    assert T.verified(features.drop("file_path"), manifest, 2).collect()[0].ok is False
+
+
+def test_library_k_means_is_about_as_good(spark):
+    """Spark ML's k-means against the own one, by the sum of squared distances."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([c + 0.2 * rng.normal(size=(60, 4)) for c in 3 * rng.normal(size=(5, 4))])
+    points = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, embedding array<double>")
+    own = K.assign(points, K.kmeans(points, 5, 10, starts=3, plus_plus=True)).agg({"dist": "sum"}).first()[0]
+    data = points.withColumn("features", array_to_vector("embedding"))
+    assert own <= 1.1 * KMeans(k=5, seed=1).fit(data).summary.trainingCost

@@ -97,11 +97,19 @@ def unordered(pairs: DataFrame, a: str = "id", b: str = "neighbor_id") -> DataFr
     return pairs.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).distinct()
 
 
-def cluster_pairs(pairs: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(cluster_id, pairs) of neighbour pairs whose ends are in one cluster; 0 where there are none."""
-    a = assignment.select(F.col("id").alias("id_a"), F.col("cluster_id").alias("ca"))
-    b = assignment.select(F.col("id").alias("id_b"), F.col("cluster_id").alias("cb"))
-    inside = pairs.join(a, "id_a").join(b, "id_b").where("ca = cb").groupBy(F.col("ca").alias("cluster_id")).agg(F.count("*").alias("pairs"))
+def cluster_pairs(entries: DataFrame, offsets: list[tuple[int, int]], assignment: DataFrame) -> DataFrame:
+    """(cluster_id, pairs) of unordered neighbour pairs whose ends are in one cluster; 0 where there are none.
+
+    The cluster is on the entries before they meet, so pairs of two clusters never arise."""
+    known = entries.select("id", "mosaic_name", "pos_row", "pos_col").join(assignment.select("id", "cluster_id"), "id")
+    shift = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets)))
+    near = known.select("id", "cluster_id", "mosaic_name", "pos_row", "pos_col", shift.alias("o")).select(
+        "id", "cluster_id", "mosaic_name", (F.col("pos_row") + F.col("o.r")).alias("pos_row"), (F.col("pos_col") + F.col("o.c")).alias("pos_col")
+    )
+    other = known.select(F.col("id").alias("neighbor_id"), "cluster_id", "mosaic_name", "pos_row", "pos_col")
+    both = near.join(other, ["mosaic_name", "pos_row", "pos_col", "cluster_id"]).where("id <> neighbor_id")
+    pairs = both.select("cluster_id", F.least("id", "neighbor_id").alias("id_a"), F.greatest("id", "neighbor_id").alias("id_b")).distinct()
+    inside = pairs.groupBy("cluster_id").agg(F.count("*").alias("pairs"))
     return assignment.select("cluster_id").distinct().join(inside, "cluster_id", "left").select("cluster_id", F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 

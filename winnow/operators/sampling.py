@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from winnow.functions.draws import draw_order
-from winnow.functions.order import drawn, numbered
+from winnow.functions.draws import draw_order, uniform
+from winnow.functions.order import accumulated, drawn, numbered
+from winnow.functions.partitions import small
 
 
 def _with_cut(children: DataFrame) -> DataFrame:
@@ -68,14 +69,34 @@ def hierarchical_sample(
         )
         now = allocations(children, seed).select(F.col("child_id").alias("cluster_id"), "quota")
     points = edges.where("level = 1").select(F.col("parent_id").alias("cluster_id"), F.col("child_id").alias("id"), "rank_in_cluster")
-    sizes = flat_sizes.where("level = 1").select("cluster_id", "flat_size")
-    order = [draw_order(seed, F.col("id")), F.col("id")] if strategy == "r" else [F.col("rank_in_cluster"), F.col("id")]
-    w = W.partitionBy("cluster_id").orderBy(*order)
-    drawn = points.join(now.join(sizes, "cluster_id"), "cluster_id").withColumn("turn", F.row_number().over(w))
+    sizes = flat_sizes.where("level = 1 and flat_size > 0").select("cluster_id", F.col("flat_size").alias("flat_size"))
+    drawn_ = points.join(now.join(sizes, "cluster_id"), "cluster_id")
+    if strategy == "c":
+        drawn_ = drawn_.withColumn("turn", F.row_number().over(W.partitionBy("cluster_id").orderBy("rank_in_cluster", "id")))
+    else:
+        drawn_ = _turns(drawn_, multiplier, seed)
     whole = F.least(F.expr("quota div flat_size"), F.lit(multiplier))
     extra = F.when((whole < multiplier) & (F.col("turn") <= F.expr("quota % flat_size")), 1).otherwise(0)
     times = (whole + extra).cast("int")
-    return drawn.where(times > 0).select("id", F.explode(F.sequence(F.lit(0), times - 1)).alias("replica"))
+    return drawn_.where(times > 0).select("id", F.explode(F.sequence(F.lit(0), times - 1)).alias("replica"))
+
+
+def _turns(points: DataFrame, multiplier: int, seed: int) -> DataFrame:
+    """The points with their turn in the seeded order of their cluster, as far as a turn may matter.
+
+    Of a cluster that gives ``rest`` of its points once more, only those whose draw is below about rest / size are
+    ranked, with so much to spare that more than ``rest`` remain; should they not, the job fails.  So what
+    is sorted is about as much as is drawn, however large a cluster is.  The others get a turn beyond all.
+    """
+    rest, size = F.expr("try_mod(quota, flat_size)"), F.expr("nullif(flat_size, 0)")
+    all_ = F.expr("quota div nullif(flat_size, 0)") >= multiplier
+    near = F.coalesce(F.when(all_ | (rest == 0), F.lit(False)).otherwise(uniform(seed, F.col("id")) <= (1.5 * rest + 64) / size), F.lit(False))
+    marked_ = points.withColumn("_near", near)
+    w = W.partitionBy("cluster_id").orderBy(draw_order(seed, F.col("id")), "id")
+    ranked = marked_.where("_near").withColumns({"turn": F.row_number().over(w), "_n": F.count("*").over(W.partitionBy("cluster_id"))})
+    enough = F.when(F.col("_n") < F.least(rest, size), F.raise_error(F.lit("a draw left too few points of a cluster"))).otherwise(F.col("turn"))
+    others = marked_.where("not _near").withColumn("turn", F.lit(2**31 - 1))
+    return ranked.withColumn("turn", enough).drop("_n", "_near").unionByName(others.drop("_near"))
 
 
 def per_cluster(assignment: DataFrame, n: int, seed: int) -> DataFrame:
@@ -102,11 +123,36 @@ def equalised(a: DataFrame, b: DataFrame, seed: int) -> DataFrame:
 
 def random_pairs(ids: DataFrame, n: int, seed: int) -> DataFrame:
     """Up to n distinct unordered pairs of different ids, drawn by two seeded orders of equal ranks."""
-    first = ids.select(F.col("id").alias("x")).orderBy(draw_order(f"{seed}|x", F.col("x")), "x").limit(n)
-    second = ids.select(F.col("id").alias("y")).orderBy(draw_order(f"{seed}|y", F.col("y")), "y").limit(n)
-    a = first.withColumn("rn", F.row_number().over(W.orderBy(draw_order(f"{seed}|x", F.col("x")), "x")))
-    b = second.withColumn("rn", F.row_number().over(W.orderBy(draw_order(f"{seed}|y", F.col("y")), "y")))
-    return a.join(b, "rn").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+    def order(name: str) -> DataFrame:
+        few = drawn(ids.select(F.col("id").alias(name)), n, f"{seed}|{name}", name)
+        return numbered(few.withColumn("_order", draw_order(f"{seed}|{name}", F.col(name))), "_order", name, name="rn").select("rn", name)
+
+    both = order("x").join(order("y"), "rn").where("x <> y")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def some_pairs(pairs: DataFrame, n: int, seed: int) -> DataFrame:
+    """N of the given pairs (id_a, id_b) in a seeded order."""
+    return drawn(pairs.select("id_a", "id_b"), n, seed, "id_a", "id_b")
+
+
+def marked(members: DataFrame, sample: DataFrame) -> DataFrame:
+    """(id, is_sampled) of the members."""
+    hit = sample.select("id").distinct().withColumn("_hit", F.lit(True))
+    return members.select("id").join(hit, "id", "left").select("id", F.coalesce("_hit", F.lit(False)).alias("is_sampled"))
+
+
+def running_draws(weights: DataFrame, draws: DataFrame, key: str = "cluster_id", weight: str = "flat_size") -> DataFrame:
+    """(draw, key) for each of ``draws`` (draw, u): the first key whose running share of the weights, in order of
+    the keys, reaches u.  Weights are whole numbers; without any there is no row."""
+    run = accumulated(weights.select(key, weight).where(F.col(weight) > 0), weight, key, name="_before")
+    total = weights.agg(F.sum(weight)).first()[0]
+    if not total:
+        return draws.select("draw", F.lit(None).cast(weights.schema[key].dataType).alias(key)).limit(0)
+    ends = run.select(key, (F.col("_before") / F.lit(float(total))).alias("lo"), ((F.col("_before") + F.col(weight)) / F.lit(float(total))).alias("hi"))
+    at = (F.col("u") <= F.col("hi")) & ((F.col("u") > F.col("lo")) | (F.col("lo") == 0))
+    return ends.join(small(draws), at).groupBy("draw").agg(F.min(key).alias(key))
 
 
 def preview(members: DataFrame, sampled: DataFrame, n: int = 3) -> DataFrame:

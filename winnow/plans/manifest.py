@@ -56,7 +56,7 @@ def _assignment(spark, folder):
 
 
 def j13_cluster_pairs(spark, folder):
-    return M.cluster_pairs(u3_unordered_pairs(spark, folder), _assignment(spark, folder))
+    return M.cluster_pairs(cutouts(spark, folder).where("pos_row is not null"), eight(128), _assignment(spark, folder))
 
 
 def a15_pair_statistics(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from winnow.functions.draws import draw_order
+from winnow.functions.draws import uniform
 from winnow.operators import hierarchy as H
 from winnow.operators import sampling as S
 from winnow.plans.common import TREE, table, tree
@@ -76,8 +76,7 @@ def m10_random_pairs(spark, folder):
 def m11_neighbour_pairs(spark, folder):
     from winnow.plans.manifest import u3_unordered_pairs
 
-    pairs = u3_unordered_pairs(spark, folder)
-    return pairs.orderBy(draw_order(SEED, F.col("id_a"), F.col("id_b")), "id_a", "id_b").limit(200)
+    return S.some_pairs(u3_unordered_pairs(spark, folder), 200, SEED)
 
 
 def m12_equalised(spark, folder):
@@ -103,18 +102,13 @@ def l4_config_rank(spark, folder):
 
 
 def j6_sampled_flag(spark, folder):
-    s = _sample(300, 1, "c")(spark, folder).select("id").distinct().withColumn("hit", F.lit(True))
-    return _members(spark, folder).join(s, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("is_sampled"))
+    return S.marked(_members(spark, folder), _sample(300, 1, "c")(spark, folder))
 
 
 def w5_running_draw(spark, folder):
     """The first customer whose running share of the flat sizes reaches each of 20 drawn numbers."""
-    sized = H.sizes(*tree(spark, folder), 3).where("level = 2").select("cluster_id", "flat_size")  # one row for each nation
-    w = W.orderBy("cluster_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = sized.select("cluster_id", F.sum("flat_size").over(w).alias("cum"), F.sum("flat_size").over(W.partitionBy()).alias("total"))
-    u = F.conv(F.substring(draw_order(SEED, F.col("id")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    draws = spark.range(20).select(F.col("id").alias("draw"), u.alias("u"))
-    return draws.join(F.broadcast(run), F.col("cum") >= F.col("u") * F.col("total")).groupBy("draw").agg(F.min("cluster_id").alias("cluster_id"))
+    sized = H.sizes(*tree(spark, folder), 3).where("level = 2").select("cluster_id", "flat_size")
+    return S.running_draws(sized, spark.range(20).select(F.col("id").alias("draw"), uniform(SEED, F.col("id")).alias("u")))
 
 
 def queries():
