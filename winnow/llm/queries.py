@@ -54,7 +54,7 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate group of every cutout that has one, and its number of links."""
     features = spark.read.parquet(f"{folder}/features.parquet")
     cutouts = spark.read.parquet(f"{folder}/cutouts.parquet")
-    pairs = near_duplicates.compatible_pairs(near_duplicates.near_pairs(features, floor=0.98), cutouts, apart=64)
+    pairs = near_duplicates.compatible_pairs(cut(near_duplicates.near_pairs(features, floor=0.98)), cutouts, apart=64)
     return near_duplicates.groups(cut(pairs))
 
 
