@@ -49,6 +49,19 @@ def test_passages_in_markup(spark):
     assert leaks.leaks(df.limit(0), items).count() == leaks.leaks(df, items.limit(0)).count() == 0
 
 
+def test_several_indexes_find_the_same(spark, monkeypatch):
+    """Items in one index, and in several by their number or their characters."""
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("needs the test tables")
+    documents, items = (spark.read.parquet(str(folder / f"{n}.parquet")) for n in ("documents", "eval_items"))
+    want = sorted(map(tuple, leaks.leaks(documents, items).collect()))
+    for name, bound in (("INDEX_ITEMS", 90), ("INDEX_CHARACTERS", 9_000)):
+        with monkeypatch.context() as m:
+            m.setattr(leaks, name, bound)
+            assert sorted(map(tuple, leaks.leaks(documents, items).collect())) == want and want
+
+
 def test_no_passage_is_lost_by_the_index():
     import random
 

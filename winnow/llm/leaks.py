@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.lineage import cut
 from winnow.functions.partitions import spread
 from winnow.llm.wikitext import plain, words
 
 K1, B = 1.2, 0.75
-#: Items of one index; a larger table is searched index by index.
-INDEX_ITEMS = 20_000
+#: Items and characters of one index; a larger table is searched index by index.
+INDEX_ITEMS, INDEX_CHARACTERS = 20_000, 20_000_000
 #: Postings of one block.
 BLOCK = 16
 
@@ -169,35 +170,50 @@ def leaks(
 
     Defined cases: null and empty texts hold nothing; items with a null or wordless text can't leak;
     items or documents given twice are reported once for each row of the document; an empty table gives
-    an empty result; texts are searched whole; other columns are ignored.  More than ``INDEX_ITEMS`` items
-    are searched in several indexes, so no index outgrows an executor.
+    an empty result; texts are searched whole; other columns are ignored.  More than ``INDEX_ITEMS`` items or
+    ``INDEX_CHARACTERS`` are searched in several indexes, so no index outgrows an executor; the words of the
+    documents are taken from the markup once then, and kept in a checkpoint.
     """
     slim = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t"), F.col(item_answer).alias("a"))
     slim = slim.where("i is not null and t is not null").dropDuplicates(["i"])
-    parts = max(1, -(-slim.count() // INDEX_ITEMS))
+    n, characters = slim.agg(F.count("*"), F.sum(F.length("t"))).first()
+    parts = max(1, -(-n // INDEX_ITEMS), -(-int(characters or 0) // INDEX_CHARACTERS))
     kind = df.schema[key].dataType.simpleString()
     item_kind = items.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id {item_kind}, passages int, share double, answer_found boolean"
     texts = spread(df.select(key, text))
+    if parts > 1:
+        texts = cut(texts.mapInArrow(_worded(key), f"`{key}` {kind}, words string"))
     out = None
     for part in range(parts):
         own = slim if parts == 1 else slim.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
         index = build_index([tuple(r) for r in own.collect()], passage)
-        found = texts.mapInArrow(_search(index, key, item_kind), schema)
+        shared = df.sparkSession.sparkContext.broadcast(index)
+        found = texts.mapInArrow(_search(shared, key, item_kind, parts > 1), schema)
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def _search(index: Index, key: str, item_kind: str):
+def _worded(key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [" ".join(words(plain(t))) if t else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[key, "words"])
+
+    return run
+
+
+def _search(shared, key: str, item_kind: str, worded: bool):
     numbers = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             rows, item, count, share, answer = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
-                found = words(plain(text))
+                found = text.split(" ") if worded else words(plain(text))
                 places = {p for query in passages(index, found) for p in retrieve(index, query)}
                 if not places:
                     continue
