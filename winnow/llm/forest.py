@@ -12,7 +12,9 @@ on the leaf's side.  That follows from the vector's distance to the plane and th
 step to a neighbour along any one direction: ``step`` over the root of the number of dimensions that steps take,
 which is estimated from the sample (:func:`dimensions`).  Leaves are popped, the home in the first tree
 first, until the chance that the popped leaves of all trees lack a neighbour is at most ``miss``.
-There is no limit on the number of leaves; a vector far from all planes visits one.
+There is no limit on the number of leaves; a vector far from all planes visits one.  The search goes down all
+trees at once and only where a chance is left, so it costs a product with the planes, one for each leaf, and few steps
+down.
 
 In a leaf, the visitors are compared with the rows at home there, not with each other, and a pair counts for
 both its rows.  A leaf with many visitors is several tasks, each with all rows at home and a part of the
@@ -53,13 +55,19 @@ class ForestConfig:
     seed: int = 7
 
 
+#: Elements of the table of distances to planes that routing holds at once.
+ELEMENTS = 16_000_000
+
+
 @dataclass
 class Forest:
-    """Planes of all trees side by side, and for each leaf the planes on its path, +1 or -1 for the side."""
+    """The trees: for each plane its two children, the one on the plane's side first, a plane's number or, below
+    zero, -1 - leaf; and for each tree its root, given likewise."""
 
     planes: np.ndarray
     offsets: np.ndarray
-    sides: np.ndarray
+    children: np.ndarray
+    roots: np.ndarray
     tree_of_leaf: np.ndarray
     expected_rows: np.ndarray
     expected_visits: np.ndarray
@@ -68,40 +76,59 @@ class Forest:
 
     @property
     def leaves(self) -> int:
-        return self.sides.shape[1]
+        return len(self.tree_of_leaf)
 
-    def chances(self, x: np.ndarray) -> np.ndarray:
-        """Logarithm of the chance that a neighbour of each row lies in each leaf, rows by leaves."""
-        if not len(self.planes):
-            return np.zeros((len(x), self.leaves), np.float32)
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home) of every visit; home tells whether the leaf is the vector's own in its tree, the one on
+        whose side of every plane it lies."""
+        step = max(1, ELEMENTS // max(1, len(self.planes)))
+        parts = [self._route(x[at : at + step]) for at in range(0, len(x), step)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        rows, leaves, homes = zip(*parts, strict=True)
+        return np.concatenate([r + k * step for k, r in enumerate(rows)]), np.concatenate(leaves), np.concatenate(homes)
+
+    def _route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, leaf, chance, home = self._candidates(x)
+        chance = np.exp(chance, dtype=np.float64)
+        tree = self.tree_of_leaf[leaf]
+        first = home & (tree == 0)
+        order = np.lexsort((-chance, ~first, row))
+        row, leaf, chance, home, tree = row[order], leaf[order], chance[order], home[order], tree[order]
+        start = np.maximum.accumulate(np.where(np.r_[True, row[1:] != row[:-1]], np.arange(len(row)), 0))
+        lacking = np.ones(len(row))
+        for t in range(len(self.roots)):
+            own = np.where(tree == t, chance, 0.0)
+            before = np.cumsum(own) - own
+            lacking *= np.maximum(1 - (before - before[start]), 0.0)
+        popped = (start == np.arange(len(row))) | (lacking > self.config.miss)
+        return row[popped], leaf[popped], home[popped]
+
+    def _candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, logarithm of the chance, home) of the leaves whose chance is not below a twentieth of ``miss``,
+        and of all homes.  All rows go down the trees together, a level at a time, and only where a chance is left."""
+        n = len(x)
         z = (x @ self.planes.T - self.offsets) * np.float32(LOGISTIC / self.spread)
         np.clip(z, -60, 60, out=z)
-        right = -np.log1p(np.exp(-z))
-        return right @ (self.sides > 0).astype(np.float32) + (right - z) @ (self.sides < 0).astype(np.float32)
-
-    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, home) of every visit; home tells whether the leaf is the vector's best of the tree."""
-        chance = self.chances(x)
-        home = np.zeros(chance.shape, bool)
-        for tree in range(int(self.tree_of_leaf.max()) + 1):
-            own = np.flatnonzero(self.tree_of_leaf == tree)
-            home[np.arange(len(x)), own[np.argmax(chance[:, own], axis=1)]] = True
-        homes = np.flatnonzero(self.tree_of_leaf == 0)
-        rows = np.arange(len(x))
-        leaf = homes[np.argmax(chance[:, homes], axis=1)] if len(homes) > 1 else np.full(len(x), homes[0])
-        lacking = np.ones((len(x), int(self.tree_of_leaf.max()) + 1))
-        out = []
-        while len(rows):
-            out.append((rows, leaf))
-            lacking[rows, self.tree_of_leaf[leaf]] -= np.exp(chance[rows, leaf], dtype=np.float64)
-            chance[rows, leaf] = -np.inf
-            rows = rows[np.prod(np.maximum(lacking[rows], 0.0), axis=1) > self.config.miss]
-            left = chance[rows]
-            leaf = np.argmax(left, axis=1) if left.size else np.zeros(0, np.int64)
-            open_ = np.isfinite(left[np.arange(len(rows)), leaf]) if left.size else np.zeros(0, bool)
-            rows, leaf = rows[open_], leaf[open_]
-        row, leaf = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (rows, rows)
-        return row, leaf, home[row, leaf]
+        least = np.float32(np.log(self.config.miss / 20)) if self.config.miss > 0 else np.float32(-np.inf)
+        row = np.tile(np.arange(n), len(self.roots))
+        node = np.repeat(self.roots, n)
+        chance, own = np.zeros(len(row), np.float32), np.ones(len(row), bool)
+        found = []
+        while len(row):
+            done = node < 0
+            found.append((row[done], -1 - node[done], chance[done], own[done]))
+            row, node, chance, own = row[~done], node[~done], chance[~done], own[~done]
+            d = z[row, node]
+            right = chance - np.log1p(np.exp(-d))
+            left = right - d
+            on = d >= 0
+            a, b = (right >= least) | (own & on), (left >= least) | (own & ~on)
+            row = np.r_[row[a], row[b]]
+            chance = np.r_[right[a], left[b]]
+            own = np.r_[(own & on)[a], (own & ~on)[b]]
+            node = np.r_[self.children[node[a], 0], self.children[node[b], 1]]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
@@ -109,49 +136,51 @@ def fit_forest(sample: np.ndarray, rows: int, config: ForestConfig) -> Forest:
     sample = np.ascontiguousarray(sample, np.float32)
     planes: list[np.ndarray] = []
     offsets: list[float] = []
-    paths: list[list[tuple[int, int]]] = []
+    children: list[list[int]] = []
+    roots: list[int] = []
     trees: list[int] = []
     expected: list[float] = []
     scale = rows / max(1, len(sample))
     spread = max(1e-6, config.step / np.sqrt(dimensions(sample)))
     for tree in range(config.trees):
         rng = np.random.default_rng(config.seed + 1000 * tree)
-        stack: list[tuple[np.ndarray, list[tuple[int, int]]]] = [(np.arange(len(sample)), [])]
+        stack: list[tuple[np.ndarray, int, int, int]] = [(np.arange(len(sample)), 0, -1, 0)]  # rows, depth, parent, side
         while stack:
-            members, path = stack.pop()
+            members, depth, parent, side = stack.pop()
             cut = None
-            if len(members) * scale > config.leaf_rows and len(members) >= config.min_sample and len(path) < config.max_depth:
+            if len(members) * scale > config.leaf_rows and len(members) >= config.min_sample and depth < config.max_depth:
                 cut = _best_cut(sample[members], rng, config, spread, len(members) * scale > config.leaf_max)
             if cut is None:
-                paths.append(path)
+                node = -1 - len(trees)
                 trees.append(tree)
                 expected.append(len(members) * scale)
-                continue
-            normal, offset = cut
-            right = sample[members] @ normal >= offset
-            plane = len(planes)
-            planes.append(normal)
-            offsets.append(offset)
-            stack.append((members[right], [*path, (plane, 1)]))
-            stack.append((members[~right], [*path, (plane, -1)]))
+            else:
+                node = len(planes)
+                right = sample[members] @ cut[0] >= cut[1]
+                planes.append(cut[0])
+                offsets.append(cut[1])
+                children.append([0, 0])
+                stack.append((members[right], depth + 1, node, 0))
+                stack.append((members[~right], depth + 1, node, 1))
+            if parent < 0:
+                roots.append(node)
+            else:
+                children[parent][side] = node
     dim = sample.shape[1] if sample.ndim == 2 and sample.shape[1] else config.dim
-    sides = np.zeros((len(planes), len(paths)), np.int8)
-    for leaf, path in enumerate(paths):
-        for plane, side in path:
-            sides[plane, leaf] = side
     forest = Forest(
         np.array(planes, np.float32).reshape(len(planes), dim),
         np.array(offsets, np.float32),
-        sides,
+        np.array(children, np.int64).reshape(len(planes), 2),
+        np.array(roots),
         np.array(trees),
         np.array(expected),
         np.array(expected),
         spread,
         config,
     )
-    visits = np.zeros(len(paths))
+    visits = np.zeros(forest.leaves)
     for at in range(0, len(sample), 4096):
-        visits += np.bincount(forest.route(sample[at : at + 4096])[1], minlength=len(paths))
+        visits += np.bincount(forest.route(sample[at : at + 4096])[1], minlength=forest.leaves)
     forest.expected_visits = visits * scale
     return forest
 
