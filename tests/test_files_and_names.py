@@ -69,6 +69,19 @@ def test_consolidation(spark, tmp_path):
     assert consolidate(spark.createDataFrame([], FILES), str(tmp_path / "none")).count() == 0
 
 
+def test_consolidation_of_a_version_with_very_many_files(spark, tmp_path):
+    a, b = _npy(np.ones((2, 2), "f4")), _npy(np.zeros((2, 2), "f4"))
+    p = "cut_ab/K00001+01/npy/patch_{}_0.npy"
+    rows = [(k, p.format(1), a, None) for k in range(50, 1300)] + [(k, p.format(k), b, None) for k in range(2000, 2040)] + [(7, p.format(1), b, None), (8, None, b, None)]
+    folder = str(tmp_path / "store")
+    classified = consolidate(spark.createDataFrame(rows, FILES).repartition(6), folder, target_bytes=2000)
+    store = spark.read.parquet(folder)
+    assert sorted(r.file_id for r in store.collect()) == [7, 8, 50, *range(2000, 2040)]
+    assert idle(classified, store).count() == 1249
+    places = [[(r.run or "", r.mosaic or "", r.pos_row or 0) for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "store").glob("*.parquet")]
+    assert len(places) > 1 and all(x == sorted(x) for x in places)
+
+
 def test_label_literals(spark):
     cases = {"['a', \"b c\"]": ["a", "b c"], "[]": [], "": [], "['a": [], "nothing": [], "{'a'}": [], " ['x'] ": ["x"]}
     df = spark.createDataFrame([(k,) for k in [*cases, None]], "s string")
