@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Hashable
 
+from pyspark import cloudpickle
+
 
 def kept(key: Hashable, make: Callable[[], object]) -> object:
     """The object under ``key``, made at the first call in this process.
@@ -15,3 +18,15 @@ def kept(key: Hashable, make: Callable[[], object]) -> object:
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+class Shipped:
+    """An object of any class on the executors: a broadcast of its pickled form, classes by value, as the package need
+    not be there.  ``value`` is for one call in a task."""
+
+    def __init__(self, spark, thing: object):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self) -> object:
+        return pickle.loads(self.data.value)
