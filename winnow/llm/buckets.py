@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from winnow.functions.workers import Shipped
 from winnow.llm.forest import Forest, ForestConfig, fit_forest
 from winnow.llm.packs import PACKED, mix, packed, regroup, sampled, unit, unpack_all, usable
 
@@ -38,14 +39,15 @@ def _keys(x: np.ndarray) -> list[bytes]:
 
 
 def fitted(df: DataFrame, config: ForestConfig, ids: str = "id", vectors: str = "embedding", first: int = 6) -> Index:
-    """A forest for the table, fitted on a sample of at most about ``config.sample_rows`` rows.
+    """A forest for the table, fitted on a sample of at most about ``config.sample_most`` rows.
 
     Vectors of which the sample promises more than half of ``config.leaf_max`` copies are heavy; there are at
     most ``2 * rows / leaf_max`` of them.  The ``first`` smallest ids of each are gathered from all rows; with 0 no
     vector is heavy.
     """
     rows = df.select(ids).count()
-    sample = sampled(df, rows, config.sample_rows, config.dim, ids, vectors, config.seed)
+    wanted = min(config.sample_most, max(config.sample_rows, config.leaf_sample * rows // config.leaf_max))
+    sample = sampled(df, rows, wanted, config.dim, ids, vectors, config.seed)
     config = replace(config, dim=sample.shape[1] if sample.size else config.dim)
     keys, count = np.unique(np.array(_keys(sample), object), return_counts=True) if len(sample) else ([], np.zeros(0))
     often = max(8.0, config.leaf_max / 2 * len(sample) / max(1, rows))
@@ -118,16 +120,18 @@ def compared(
     ids are distinct and ascending; home tells the rows at home in the leaf from its visitors.  Rows that
     :func:`of_heavy` accounts for are left out.
     """
-    forest, heavy = index.forest, index.heavy
-    dim = forest.config.dim
+    dim = index.forest.config.dim
+    shared = Shipped(df.sparkSession, index)  # as large as its sample allows
     kinds = [(np.int64, 0), (np.float32, dim), (np.int8, 0)]
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        forest, heavy = own.forest, own.heavy
         for i, x in _gathered(parts, dim, ids, vectors):
             if heavy:
                 few = [(at := heavy.get(k)) is None or n in at for n, k in zip(i, _keys(x), strict=True)]
                 i, x = i[few], x[few]
-            row, task, home = visits(forest, i, x)  # the forest is as large as its sample allows
+            row, task, home = visits(forest, i, x)
             yield packed(task, [i[row], x[row], home.astype(np.int8)])
 
     def receive(table: pa.Table) -> pa.Table:
@@ -136,7 +140,7 @@ def compared(
         return work(i, x[at], home[at] > 0)
 
     routed = df.select(ids, vectors).mapInArrow(send, PACKED)
-    return regroup(routed, int(tasks_of(forest)[-1]), receive, schema)
+    return regroup(routed, int(tasks_of(index.forest)[-1]), receive, schema)
 
 
 def of_heavy(
@@ -144,11 +148,13 @@ def of_heavy(
 ) -> DataFrame | None:
     """``work(ids, firsts)`` over the copies that :func:`compared` leaves out; firsts has for each the smallest
     ids of its vector.  None if there are none."""
-    heavy, dim = index.heavy, index.forest.config.dim
-    if not heavy:
+    if not index.heavy:
         return None
+    dim = index.forest.config.dim
+    shared = df.sparkSession.sparkContext.broadcast(index.heavy)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = shared.value
         for i, x in _gathered(parts, dim, ids, vectors):
             lists = [heavy.get(k) for k in _keys(x)]
             left = [n for n, at in enumerate(lists) if at is not None and i[n] not in at]

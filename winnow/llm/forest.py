@@ -36,7 +36,8 @@ LOGISTIC = 1.702
 class ForestConfig:
     """Parameters of the forest.
 
-    ``sample_rows`` bounds what the driver sees.  ``step`` is the distance of two unit vectors that are to be
+    ``sample_rows`` and ``sample_most`` bound what the driver sees: the sample has ``sample_rows`` vectors, or
+    ``leaf_sample`` for each leaf that the table needs, up to ``sample_most``.  ``step`` is the distance of two unit vectors that are to be
     neighbours, 0.4 at a cosine of 0.92.
     """
 
@@ -45,6 +46,8 @@ class ForestConfig:
     step: float = 0.4
     miss: float = 0.1
     sample_rows: int = 20_000
+    sample_most: int = 200_000
+    leaf_sample: int = 48
     leaf_rows: int = 4_096
     leaf_max: int = 8_192
     planes: int = 24

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.lineage import cut
 from winnow.functions.partitions import spread
+from winnow.functions.workers import Shipped
 from winnow.llm.wikitext import plain, words
 
 K1, B = 1.2, 0.75
@@ -188,7 +189,7 @@ def leaks(
     for part in range(parts):
         own = slim if parts == 1 else slim.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
         index = build_index([tuple(r) for r in own.collect()], passage)
-        shared = df.sparkSession.sparkContext.broadcast(index)
+        shared = Shipped(df.sparkSession, index)
         found = texts.mapInArrow(_search(shared, key, item_kind, parts > 1), schema)
         out = found if out is None else out.unionAll(found)
     return out
