@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from winnow.llm import clusters, kernels, near_duplicates, neighbours, queries, varied
 from winnow.llm.components import components
@@ -307,6 +308,13 @@ def test_empty_tables(spark):
     assert clusters.linked(none, 0.8).count() == 0
     assert clusters.density_clusters(none).count() == 0
     assert near_duplicates.near_pairs(none).count() == 0
+    records = spark.createDataFrame([(1, "K00001+01")], "id long, mosaic_name string")
+    requests = spark.createDataFrame([(1, 5, 1, "r")], REQUESTS)
+    assert varied.varied_subset(none, records, requests).count() == 0
+    some = _table(spark, *_groups())
+    assert varied.varied_subset(some, records.limit(0), requests).count() == 0
+    assert varied.varied_subset(some, records, requests.limit(0)).count() == 0
+    assert near_duplicates.compatible_pairs(near_duplicates.near_pairs(some), records.withColumn("position", F.lit(None).cast("array<int>")).limit(0)).count() > 0
 
 
 def test_components(spark):
