@@ -302,6 +302,49 @@ def test_density_clusters(spark):
         assert min(r.persistence for r in own if r.exemplar) >= max(r.persistence for r in own if not r.exemplar)
 
 
+@pytest.mark.parametrize("task_edges", [500_000, 20])
+def test_level_clusters(spark, task_edges):
+    """The hierarchy's clusters at a similarity, in one task and by rounds and bands, with copies that no task compares."""
+    ids, x = _groups(1)
+    x = np.vstack([x, np.tile(x[40], (150, 1))])
+    ids = np.arange(len(x)) * 7 + 3
+    s = _cosines(x) >= 0.75
+    root = np.arange(len(ids))
+    for i, j in zip(*np.nonzero(s), strict=True):
+        if root[i] != root[j]:
+            root[np.isin(root, (root[i], root[j]))] = min(root[i], root[j])
+    sizes = np.bincount(root, minlength=len(ids))
+    want = {(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if sizes[r] >= 5}
+    out = clusters.level_clusters(_table(spark, ids, x), 0.75, 5, task_edges, replace(SMALL[0], miss=0.001)).collect()
+    assert len(out) == len(want) and {(r.id, r.cluster_id) for r in out} == want
+    none = spark.createDataFrame([], SCHEMA)
+    assert clusters.level_clusters(none, 0.75, 5, task_edges).count() == 0
+
+
+def test_forest_is_the_same_by_rounds_and_in_one_task(spark):
+    rng = np.random.default_rng(6)
+    pairs = {(int(a), int(b)) for a, b in np.sort(rng.integers(0, 300, (900, 2)), axis=1) if a < b}
+    edges = [(a, b, int(rng.integers(0, 40))) for a, b in sorted(pairs)]  # with many equal weights
+    table = spark.createDataFrame(edges, "a long, b long, w long")
+    found = []
+    for task_edges in (1_000_000, 100, 0):
+        forest, roots = minimum_forest(table, task_edges)
+        found.append((sorted(map(tuple, forest.collect())), sorted(map(tuple, roots.collect()))))
+    assert found[0] == found[1] == found[2]
+    assert (len(found[0][0]), sum(w for _, _, w in found[0][0])) == _forest_weight((w, a, b) for a, b, w in edges)
+
+
+def test_p3_found_comes_from_the_forest_and_the_hierarchy(spark, tmp_path, monkeypatch):
+    called = []
+    for name in ("minimum_forest", "condensed"):
+        step = getattr(clusters, name)
+        monkeypatch.setattr(clusters, name, lambda *a, _step=step, _name=name: called.append(_name) or _step(*a))
+    ids, x = _groups(5)
+    _table(spark, ids, x).write.parquet(str(tmp_path / "features.parquet"))
+    assert queries.queries()["p3_found"](spark, str(tmp_path)).count() > 250
+    assert called == ["minimum_forest", "condensed"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert neighbours.most_similar(none).count() == 0

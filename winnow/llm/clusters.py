@@ -12,20 +12,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnow.functions.lineage import cut
-from winnow.llm.buckets import compared, fitted, of_heavy
+from winnow.llm.buckets import Index, compared, fitted, of_heavy
 from winnow.llm.components import components
 from winnow.llm.forest import ForestConfig
 from winnow.llm.hierarchy import condensed, topmost
 from winnow.llm.kernels import ranked
 from winnow.llm.neighbours import MERGE_IDS
 from winnow.llm.packs import mix, pack, packed, regroup, unit, unpack, unpack_all
-from winnow.llm.spanning import SCALE, minimum_forest, spanning_forest
+from winnow.llm.spanning import SCALE, followed, minimum_forest, spanning_forest
 
 CONFIG = ForestConfig(step=0.4)
 #: For links between groups, which are long: every vector is near many planes then.
 WIDE = ForestConfig(step=0.4, miss=0.3)
 #: Nearest neighbours of a vector that are edges of the graph.
 NEAREST = 8
+EDGES = "a long, b long, w long"
 
 
 def reachability_graph(
@@ -43,24 +44,34 @@ def reachability_graph(
     step = float(np.sqrt(max(0.0, 2 - 2 * floor)))
     config = replace(config, step=max(config.step, step))  # links between groups are as long as the floor allows
     index = fitted(df, config, ids, vectors, max(NEAREST, neighbours) + 1)
+    edges = _compared_edges(df, index, neighbours, floor, ids, vectors)
+    more = _copied_edges(df, index, ids, vectors)
+    return edges if more is None else edges.unionAll(more)
+
+
+def _copied_edges(df: DataFrame, index: Index, ids: str, vectors: str) -> DataFrame | None:
+    """(a, b, w) from the smallest id of each heavy vector, a, to its copies that take no part in the forest of trees."""
+
+    def copies(i: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(firsts[:, 0]), pa.array(i), pa.array(np.zeros(len(i), np.int64))], names=["a", "b", "w"])
+
+    return of_heavy(df, index, copies, EDGES, ids, vectors)
+
+
+def _compared_edges(df: DataFrame, index: Index, neighbours: int, floor: float, ids: str, vectors: str) -> DataFrame:
+    """The edges of :func:`reachability_graph` between the vectors that take part in the forest of trees."""
     far = SCALE - round(floor * SCALE)
-    schema = "a long, b long, w long"
 
     def sorted_ends(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> list[pa.Array]:
         return [pa.array(c) for c in (np.minimum(a, b), np.maximum(a, b), w)]
 
-    def copies(i: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(sorted_ends(i, firsts[:, 0], np.zeros(len(i), np.int64)), names=["a", "b", "w"])
-
-    more = of_heavy(df, index, copies, schema, ids, vectors)
     if neighbours <= 0:
 
         def work(i: np.ndarray, x: np.ndarray, home: np.ndarray) -> pa.Table:
-            u, v, w = spanning_forest(unit(x), home, floor, NEAREST)[1]
+            u, v, w = spanning_forest(unit(x), home, floor, NEAREST // 2)[1]
             return pa.Table.from_arrays(sorted_ends(i[u], i[v], w), names=["a", "b", "w"])
 
-        edges = compared(df, index, work, schema, ids, vectors)
-        return edges if more is None else edges.unionAll(more)
+        return compared(df, index, work, EDGES, ids, vectors)
 
     parts = max(1, -(-index.rows // MERGE_IDS))
     k = max(NEAREST, neighbours)
@@ -108,18 +119,17 @@ def reachability_graph(
     edges = found.join(cores, "b", "left").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), weight.alias("w")
     )
-    edges = edges.groupBy("a", "b").agg(F.max("w").alias("w"))
-    return edges if more is None else edges.unionAll(more)
+    return edges.groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
 def linked(
     df: DataFrame, floor: float, config: ForestConfig = CONFIG, ids: str = "id", vectors: str = "embedding"
 ) -> DataFrame:
-    """(id, cluster_id) of every usable vector: the density hierarchy with a core of one point, cut at
-    similarity ``floor``.
+    """(id, cluster_id) of every usable vector, lone ones too: what :func:`level_clusters` gives for ``least`` = 1,
+    without its forest and hierarchy.
 
-    With that core mutual reachability is the distance itself, and the clusters of the cut are the trees of the
-    minimum spanning forest up to the floor.  Borůvka's first rounds run in each leaf of the forest of
+    With a core of one point the clusters are the trees of the minimum spanning forest up to the floor.  Borůvka's
+    first rounds run in each leaf of the forest of
     random-projection trees; its components there are contracted to one vertex each, and as all that can
     still join them are the vectors that several leaves share, the last rounds are the components of a graph
     of contracted vertices.  cluster_id is the smallest id of the cluster; a vector without links is its
@@ -156,6 +166,40 @@ def at_least(clusters: DataFrame, size: int) -> DataFrame:
     return clusters.join(sizes, "cluster_id", "left_semi")
 
 
+def level_clusters(
+    df: DataFrame,
+    floor: float,
+    least: int = 5,
+    task_edges: int = 500_000,
+    config: ForestConfig = CONFIG,
+    ids: str = "id",
+    vectors: str = "embedding",
+) -> DataFrame:
+    """(id, cluster_id) of the members of the density hierarchy's clusters at similarity ``floor``.
+
+    The steps are those of :func:`density_clusters` up to the hierarchy: the mutual-reachability graph, its minimum
+    spanning forest and the merging edge by edge, with clusters of at least ``least`` vectors.  A core is of one
+    vector, so mutual reachability is the distance itself; and the clusters are those alive at the floor, instead
+    of the most stable ones.  cluster_id is the smallest id of the cluster.
+
+    A vector in no cluster is no row.  Other cases as for :func:`winnow.llm.neighbours.most_similar`.
+    """
+    index = fitted(df, config, ids, vectors, max(NEAREST, least) + 1)
+    forest, roots = minimum_forest(_compared_edges(df, index, 0, floor, ids, vectors), 2 * task_edges)
+    if forest is None:
+        return df.sparkSession.createDataFrame([], "id long, cluster_id long")
+    joins, tree = condensed(forest, roots, least, SCALE - round(floor * SCALE), task_edges)
+    up = F.when(F.col("parent") < 0, F.col("cluster")).otherwise(F.col("parent"))
+    alive = followed(tree.select(F.col("cluster").alias("r"), up.alias("up")), task_edges)
+    members = joins.join(alive.select(F.col("r").alias("cluster"), F.col("up").alias("taken")), "cluster").select("id", "taken")
+    more = _copied_edges(df, index, ids, vectors)
+    if more is not None:  # a copy is where the first of its vector is, which alone are enough for a cluster
+        firsts = members.withColumnRenamed("id", "a")
+        members = members.unionAll(more.select("a", "b").distinct().join(firsts, "a").select(F.col("b").alias("id"), "taken"))
+    names = members.groupBy("taken").agg(F.min("id").alias("cluster_id"))
+    return members.join(names, "taken").select("id", "cluster_id")
+
+
 def density_clusters(
     df: DataFrame,
     least: int = 5,
@@ -181,7 +225,7 @@ def density_clusters(
     A vector in no taken cluster is no row.  Other cases as for :func:`winnow.llm.neighbours.most_similar`.
     """
     empty = "id long, cluster_id long, size long, persistence double, exemplar boolean"
-    forest, roots = minimum_forest(reachability_graph(df, neighbours, floor, config, ids, vectors))
+    forest, roots = minimum_forest(reachability_graph(df, neighbours, floor, config, ids, vectors), 2 * task_edges)
     if forest is None:
         return df.sparkSession.createDataFrame([], empty)
     joins, tree = condensed(forest, roots, least, SCALE - round(floor * SCALE), task_edges)

@@ -35,7 +35,7 @@ def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     features = spark.read.parquet(f"{folder}/features.parquet")
-    return clusters.at_least(clusters.linked(features, floor=0.82), 5).select("cluster_id", "id")
+    return clusters.level_clusters(features, floor=0.82, least=5).select("cluster_id", "id")
 
 
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:

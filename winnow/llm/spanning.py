@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,38 +125,91 @@ def _outside(single: np.ndarray, home: np.ndarray, comp: np.ndarray, ask: np.nda
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def minimum_forest(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+def _remaining_rounds(table: pa.Table) -> pa.Table:
+    """Borůvka's rounds over the edges (ra, rb, w, a, b) between components: (taken, a, b, w) of the edges taken, and
+    of each component with the one of those it has become one with that stands for them."""
+    ra, rb, w, a, b = (table.column(c).to_numpy() for c in ("ra", "rb", "w", "a", "b"))
+    nodes, ends = np.unique(np.r_[ra, rb], return_inverse=True)
+    at = np.lexsort((b, a, w))
+    u, v = ends[: len(ra)][at], ends[len(ra) :][at]
+    comp = np.arange(len(nodes))
+    picked = [at[:0]]
+    while len(u):
+        lightest = np.full(len(nodes), len(u))
+        for end in (u, v):
+            np.minimum.at(lightest, comp[end], np.arange(len(u)))
+        own = np.flatnonzero(lightest < len(u))
+        pick = lightest[own]
+        picked.append(at[np.unique(pick)])
+        up = np.arange(len(nodes))
+        up[own] = comp[u[pick]] + comp[v[pick]] - own
+        first = own[(up[up[own]] == own) & (own < up[own])]  # two that took the same edge
+        up[first] = first
+        while (up != up[up]).any():
+            up = up[up]
+        comp = up[comp]
+        alive = comp[u] != comp[v]
+        u, v, at = u[alive], v[alive], at[alive]
+    e = np.concatenate(picked)
+    taken = np.arange(len(e) + len(nodes)) < len(e)
+    columns = [np.r_[a[e], nodes], np.r_[b[e], nodes[comp]], np.r_[w[e], np.zeros(len(nodes), np.int64)]]
+    return pa.Table.from_arrays([pa.array(c) for c in (taken, *columns)], names=["taken", "a", "b", "w"])
+
+
+def followed(pointers: DataFrame, task_rows: int = 1_000_000) -> DataFrame:
+    """(r, up) with the end of the path of pointers (r, up) from each r; an end points to itself.
+
+    By doubling pointers, in one task if there are at most ``task_rows``."""
+    if pointers.count() <= task_rows:
+
+        def ends(table: pa.Table) -> pa.Table:
+            r, up = (table.column(c).to_numpy() for c in ("r", "up"))
+            order = np.argsort(r)
+            r, up = r[order], np.searchsorted(r[order], up[order])
+            while (up != up[up]).any():
+                up = up[up]
+            return pa.table({"r": r, "up": r[up]})
+
+        return cut(pointers.select(F.lit(0).alias("task"), "r", "up").groupBy("task").applyInArrow(ends, "r long, up long"))
+    while True:
+        above = pointers.select(F.col("r").alias("up"), F.col("up").alias("upper"))
+        higher = cut(pointers.join(above, "up").select("r", F.col("upper").alias("up"), (F.col("up") != F.col("upper")).alias("moved")))
+        pointers = higher.select("r", "up")
+        if higher.where("moved").isEmpty():
+            return pointers
+
+
+def minimum_forest(edges: DataFrame, task_edges: int = 1_000_000) -> tuple[DataFrame | None, DataFrame]:
     """((a, b, w) of the minimum spanning forest, (id, root) of its vertices) of the edges (a, b, w), a < b.
 
     Borůvka's rounds: every component takes its lightest edge to another one, ties to the smaller ends; the
     components so hooked to each other become one, by doubling pointers; edges within a component fall
     away, and of several between the same two the lightest stays.  All steps are aggregations with partial
-    results and joins on components, whose number at least halves with each round.  root is the smallest
-    vertex of its component.  The forest is None if there are no edges.
+    results and joins on components, whose number at least halves with each round.  Once at most
+    ``task_edges`` edges between components are left, one task goes through the remaining rounds; as no two edges
+    rank the same, the forest is the same.  root is the smallest vertex of its component.  The forest is
+    None if there are no edges.
     """
     edges = cut(edges.select("a", "b", "w"))
     left = edges.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.struct("w", "a", "b").alias("e"))
     taken: DataFrame | None = None
     maps: list[DataFrame] = []
-    while True:
-        ends = left.select(F.col("ra").alias("r"), F.struct("e", F.col("rb").alias("to")).alias("x")).unionAll(
-            left.select(F.col("rb").alias("r"), F.struct("e", F.col("ra").alias("to")).alias("x"))
-        )
-        best = cut(ends.groupBy("r").agg(F.min("x").alias("x")).select("r", "x.to", "x.e"))
-        if best.isEmpty():
+    while count := left.count():
+        if count <= task_edges:
+            flat = left.select(F.lit(0).alias("task"), "ra", "rb", "e.w", "e.a", "e.b")
+            rest = cut(flat.groupBy("task").applyInArrow(_remaining_rounds, "taken boolean, a long, b long, w long"))
+            own = rest.where("taken").select("a", "b", "w")
+            taken = own if taken is None else taken.unionAll(own)
+            maps.append(rest.where("not taken").select(F.col("a").alias("r"), F.col("b").alias("up")))
             break
+        both = F.array(*(F.struct(F.col(r).alias("r"), F.struct("e", F.col(to).alias("to")).alias("x")) for r, to in (("ra", "rb"), ("rb", "ra"))))
+        ends = left.select(F.explode(both).alias("end")).select("end.r", "end.x")
+        best = cut(ends.groupBy("r").agg(F.min("x").alias("x")).select("r", "x.to", "x.e"))
         own = best.select("e.a", "e.b", "e.w")
         taken = own if taken is None else taken.unionAll(own)
         back = best.select(F.col("r").alias("to"), F.col("to").alias("back"))
         up = F.when((F.col("back") == F.col("r")) & (F.col("r") < F.col("to")), F.col("r")).otherwise(F.col("to"))
-        hooks = cut(best.select("r", "to").join(back, "to").select("r", up.alias("up")))
-        while True:
-            above = hooks.select(F.col("r").alias("up"), F.col("up").alias("upper"))
-            higher = cut(hooks.join(above, "up").select("r", F.col("upper").alias("up"), (F.col("up") != F.col("upper")).alias("moved")))
-            moved = not higher.where("moved").isEmpty()
-            hooks = higher.select("r", "up")
-            if not moved:
-                break
+        hooks = followed(cut(best.select("r", "to").join(back, "to").select("r", up.alias("up"))), task_edges)
         maps.append(hooks)
         a, b = (hooks.select(F.col("r").alias(f"r{x}"), F.col("up").alias(f"n{x}")) for x in "ab")
         among = left.join(a, "ra").join(b, "rb").where("na <> nb").select(F.least("na", "nb").alias("ra"), F.greatest("na", "nb").alias("rb"), "e")
