@@ -104,11 +104,12 @@ def _merging(least: int, floor: float):
         up = list(range(n))
         size, cluster, total, best = [1] * n, [-1] * n, [0.0] * n, [0.0] * n
         home = [0] * n
-        place = dict(zip(nodes.tolist(), range(n), strict=True))
         for row in states.to_pylist():
-            k = place[row["node"]]
+            k = int(np.searchsorted(nodes, row["node"]))
             size[k], cluster[k], total[k], best[k], home[k] = row["size"], row["cluster"], row["total"], row["best"], row["own_group"]
         out: list[tuple] = []
+        who: list[int] = []  # nodes that join, with the clusters, the numbers of nodes and the densities of the joins
+        came: list[tuple[int, int, float]] = []
         waiting: list[list[int]] = [[k] if cluster[k] < 0 else [] for k in range(n)]  # nodes of a small component
 
         def find(k: int) -> int:
@@ -122,9 +123,9 @@ def _merging(least: int, floor: float):
             out.append((END, cluster[k], parent, size[k], stable, best[k], density))
             return max(stable, best[k])
 
-        names = nodes.tolist()
-        for g, p, q, d, e, f in zip(*(c[order].tolist() for c in (group, na, nb, w, a, b)), strict=True):
-            i, j = find(place[p]), find(place[q])
+        ends = (np.searchsorted(nodes, c) for c in (na, nb))
+        for g, p, q, d, e, f in zip(*(c[order].tolist() for c in (group, *ends, w, a, b)), strict=True):
+            i, j = find(p), find(q)
             if i == j:
                 continue
             if size[i] < size[j]:
@@ -136,12 +137,14 @@ def _merging(least: int, floor: float):
                 cluster[i], total[i], best[i] = parent, (size[i] + size[j]) * density, worth
             elif cluster[i] >= 0:
                 total[i] += size[j] * density
-                out.extend((JOIN, names[k], cluster[i], 0, density, 0.0, 0.0) for k in waiting[j])
+                who += waiting[j]
+                came.append((cluster[i], len(waiting[j]), density))
             else:
                 waiting[i] += waiting[j]
                 if size[i] + size[j] >= least:
                     cluster[i], total[i] = _name(e, f), (size[i] + size[j]) * density
-                    out.extend((JOIN, names[k], cluster[i], 0, density, 0.0, 0.0) for k in waiting[i])
+                    who += waiting[i]
+                    came.append((cluster[i], len(waiting[i]), density))
                     waiting[i] = []
             waiting[j] = []
             size[i] += size[j]
@@ -155,7 +158,12 @@ def _merging(least: int, floor: float):
                     out.append((NOW, home[k], cluster[k], size[k], total[k], best[k], 0.0))
         columns = list(zip(*out, strict=True)) if out else [()] * 7
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in EVENTS.split(", ")])
+        names = [c.split()[0] for c in EVENTS.split(", ")]
+        events = pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        to, many, density = zip(*came, strict=True) if came else ((), (), ())
+        many, none = np.array(many, np.int64), np.zeros(len(who))
+        joined = (np.full(len(who), JOIN), nodes[np.array(who, np.int64)], np.repeat(np.array(to, np.int64), many), none, np.repeat(np.array(density, float), many), none, none)
+        return pa.concat_tables([events, pa.table([pa.array(c).cast(t) for c, t in zip(joined, kinds, strict=True)], names=names)])
 
     return work
 
